@@ -55,3 +55,25 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, "url", URL_RULES, listed_urls(pages), "canonical").select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+@query("op7_media_ts")
+def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm import mpegts
+
+    got = mpegts.read(mpegts.store(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    units = F.col("units")
+    random = F.filter(units, lambda u: u.random_access)
+    return got.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("pes="), F.size(units), F.lit(";rap="), F.size(random), F.lit(";last_pts="), F.element_at(units, -1).pts, F.lit(";last_rap="), F.element_at(random, -1).offset, F.lit(";cc_errors="), F.col("continuity_errors")).alias("feature"),
+    )
+
+
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.simhash import near_duplicates
+
+    got = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, distance=2)
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
