@@ -105,3 +105,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, k=10, scale=1024.0)
     return got.withColumn("score", F.col("score").cast("long"))
+
+
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.mixing import mixed_sizes
+
+    got = mixed_sizes(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    return got.select("doc_id", "size", "source_size", "target", "taken")
