@@ -113,3 +113,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = mixed_sizes(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     return got.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def byte_vocabulary():
+    import public_tokenizers
+
+    from meshlake.llm import bpe
+
+    return bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm import bpe
+
+    vocab = byte_vocabulary()
+    got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", vocab), "doc_id", "ids", vocab)
+    return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
