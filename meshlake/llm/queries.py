@@ -130,3 +130,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = byte_vocabulary()
     got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", vocab), "doc_id", "ids", vocab)
     return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _licence_sql() -> str:
+    from meshlake.llm.licenses import TEMPLATES, bigrams
+
+    rows = ", ".join(f"('{k}', [{', '.join(repr(p) for p in bigrams(t))}])" for k, t in TEMPLATES.items())
+    return rf"""
+WITH t(licence, pairs) AS (VALUES {rows}),
+d AS (SELECT doc_id, rid, list_distinct(list_transform(list_distinct(list_concat([x], regexp_split_to_array(x, '\n[ \t\r]*\n'), regexp_split_to_array(x, '[\n\r]+'),
+    string_split(regexp_replace(x, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)), regexp_split_to_array(regexp_replace(x, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), '[\n\r]+|' || chr(1)))),
+    lambda u: list_filter(regexp_split_to_array(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> ''))) AS units
+  FROM (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS x FROM documents)),
+u AS (SELECT doc_id, rid, unnest(units) AS w FROM d),
+b AS (SELECT *, row_number() OVER () AS uid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM u WHERE len(w) BETWEEN 3 AND 150),
+s AS (SELECT doc_id, rid, uid, w, licence, 2.0 * list_sum(list_transform(list_distinct(pairs), lambda p: least(len(list_filter(g, lambda x: x = p)), len(list_filter(pairs, lambda x: x = p))))) / (len(g) + len(pairs)) AS dice
+  FROM b JOIN t ON len(g) BETWEEN ceil(len(pairs) * 0.8 / 1.2 - 1e-9) AND floor(len(pairs) * 1.2 / 0.8 + 1e-9)),
+m AS (SELECT rid, uid, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice FROM s GROUP BY rid, uid HAVING max(dice) >= 0.8 - 1e-12),
+a AS (SELECT rid, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS dice FROM m GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_matches, coalesce(licences, '') AS licences, round(dice, 6) AS best_dice FROM d LEFT JOIN a USING (rid)
+"""
+
+
+@query("op3_licenses", _licence_sql())
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.licenses import scan
+
+    got = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    found = F.col("licences")
+    return got.select(
+        "doc_id", F.size(found).alias("n_matches"), F.array_join(F.array_distinct(found["licence"]), ",").alias("licences"), F.round(F.array_max(found["dice"]), 6).alias("best_dice")
+    )
