@@ -161,3 +161,17 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(
         "doc_id", F.size(found).alias("n_matches"), F.array_join(F.array_distinct(found["licence"]), ",").alias("licences"), F.round(F.array_max(found["dice"]), 6).alias("best_dice")
     )
+
+
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm import secrets
+
+    forest = secrets.train(secrets.labelled_findings(spark))
+    got = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", "source", forest)
+    found = F.col("findings")
+    true = F.filter(found, lambda f: f["secret"])
+    return got.select(
+        "doc_id", F.size(found).alias("n_candidates"), F.size(true).alias("n_secrets"), F.array_join(F.array_sort(F.array_distinct(true["kind"])), ",").alias("kinds"),
+        F.round(F.array_max(found["probability"]), 6).alias("max_probability"), F.sha2("redacted", 256).alias("redacted_sha256"),
+    )

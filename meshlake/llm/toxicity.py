@@ -147,9 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p
     terms = Terms(bits)
     kind = known.schema["k"].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("k", "y", "t")
-    found = arrow_stage(rows, lambda b: {"k": b.column(0), "y": b.column(1), "terms": [terms(t).tolist() for t in b.column(2).to_pylist()]}, f"k {kind}, y int, terms array<int>")
+    found = arrow_stage(rows, lambda b: {"k": b.column(0), "y": b.column(1), "terms": [terms(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()]}, f"k {kind}, y int, terms binary")
     got = sorted(found.groupBy("k").agg(F.min("y").alias("y"), F.min("terms").alias("terms")).collect(), key=lambda r: r.k)
-    return fit([np.array(r.terms, np.int64) for r in got], [r.y for r in got], bits, **how)
+    return fit([np.frombuffer(r.terms, "<i4") for r in got], [r.y for r in got], bits, **how)
 
 
 def score(docs: DataFrame, text: str, machine: Machine, out: str = "score") -> DataFrame:
