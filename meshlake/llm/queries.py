@@ -175,3 +175,45 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size(found).alias("n_candidates"), F.size(true).alias("n_secrets"), F.array_join(F.array_sort(F.array_distinct(true["kind"])), ",").alias("kinds"),
         F.round(F.array_max(found["probability"]), 6).alias("max_probability"), F.sha2("redacted", 256).alias("redacted_sha256"),
     )
+
+
+#: Start of the derived captures, in seconds (fixed value).
+CAPTURED = 1_700_000_000
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Two records for each page: a full response, and a not-modified revisit half a minute later; of every fifth page the revisit has another tag."""
+    tag = lambda c: F.concat(F.lit('"'), F.md5(F.coalesce(F.col(c), F.lit(""))), F.lit('"'))
+    i, at = F.col("page_id"), F.lit(CAPTURED) + F.col("page_id") * 60
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit(""))).cast("string")
+    full = F.concat(F.lit("Content-Type: text/html\r\nContent-Length: "), size, F.lit("\r\nETag: "), tag("html"), F.lit("\r\nDate: "), at.cast("string"))
+    again = F.concat(F.lit("Content-Length: 0\r\nCache-Control: max-age="), (i % 100).cast("string"), F.lit("\r\nETag: W/"), F.when(i % 5 == 0, tag("url")).otherwise(tag("html")), F.lit("\r\nDate: "), (at + 30).cast("string"))
+    record = lambda n, t, status, h: F.struct((i * 2 + n).alias("record_id"), t.alias("time"), F.lit(status).alias("status"), h.alias("headers"))
+    return pages.select("url", F.explode(F.array(record(0, at, 200, full), record(1, at + 30, 304, again))).alias("r")).select("url", "r.*")
+
+
+@query(
+    "op8_warc",
+    r"""
+WITH h AS (SELECT page_id, html, url, regexp_replace(translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.', '') AS host,
+  regexp_replace(coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), ''), '/+$', '') AS path,
+  array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), ''), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&') AS kept FROM pages),
+c AS (SELECT page_id, CASE WHEN host <> '' THEN host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical, 1700000000 + page_id * 60 AS t, '"' || md5(coalesce(html, '')) || '"' AS tag,
+  '"' || md5(coalesce(url, '')) || '"' AS other, octet_length(encode(coalesce(html, ''))) AS n FROM h),
+v AS (SELECT page_id * 2 + 1 AS record_id, canonical, t + 30 AS t, CASE WHEN page_id % 5 = 0 THEN other ELSE tag END AS tag, page_id % 100 AS age FROM c),
+j AS (SELECT v.*, c.page_id * 2 AS found, c.tag AS theirs, c.n FROM v ASOF LEFT JOIN c ON v.canonical = c.canonical AND v.t > c.t)
+SELECT record_id, canonical, CASE WHEN found IS NULL THEN 'no_response' WHEN tag = theirs THEN 'resolved' ELSE 'mismatch' END AS state, CASE WHEN tag = theirs THEN found END AS response_id,
+  CASE WHEN tag = theirs THEN 'cache-control: max-age=' || age || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || t || chr(10) || 'etag: W/' || tag END AS headers FROM j
+""",
+)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.warc import resolve
+
+    got = resolve(captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    return got.select("record_id", "canonical", "state", "response_id", F.array_join(lines, "\n").alias("headers"))
+
+
+from corpus_pipeline import run as _pipeline  # noqa: E402
+
+QUERIES["pipeline"] = _pipeline

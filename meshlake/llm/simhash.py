@@ -2,8 +2,8 @@
 
 A fingerprint has 64 bits, each set if over half of the XXH64 hashes (seed 42) of a text's word shingles set it.
 Documents are first grouped by fingerprint (map-side combined), so copies however many are one row from there on.
-Distinct fingerprints that differ in at most ``distance`` bits share at least ``BLOCKS - distance`` of their blocks
-of 16 bits: each is dealt out under every choice of that many blocks, joined on the choice and its bits, and the
+Distinct fingerprints that differ in at most ``distance`` bits share at least ``blocks - distance`` of their ``blocks``
+equal blocks (4 of 16 bits unless said): each is dealt out under every choice of that many blocks, joined on the choice and its bits, and the
 pairs are verified by Hamming distance. A pair is kept only at the first choice on which it agrees, so none repeats.
 Components come from alternating large-star and small-star steps over the links, which end in logarithmic rounds.
 
@@ -51,22 +51,29 @@ def with_fingerprint(df: DataFrame, key: str, text: str, words: int = 5, out: st
     )
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, i * BITS // BLOCKS).bitwiseAND(F.lit((1 << BITS // BLOCKS) - 1))
+def _block(fp: Column, i: int, blocks: int) -> Column:
+    return F.shiftrightunsigned(fp, i * BITS // blocks).bitwiseAND(F.lit((1 << BITS // blocks) - 1))
 
 
-def links(prints: DataFrame, fp: str = "fp", distance: int = 2) -> DataFrame:
+def _mask(choice: tuple[int, ...], blocks: int) -> int:
+    """The bits of the chosen blocks, as a signed 64-bit integer."""
+    bits = sum((1 << BITS // blocks) - 1 << i * BITS // blocks for i in choice)
+    return bits - (1 << BITS) if bits >> BITS - 1 else bits
+
+
+def links(prints: DataFrame, fp: str = "fp", distance: int = 2, blocks: int = BLOCKS) -> DataFrame:
     """(a, b), a < b: the pairs of distinct fingerprints that differ in 1 to ``distance`` bits. ``prints[fp]`` holds no value twice."""
-    if not 0 <= distance < BLOCKS:
-        raise ValueError(f"distance must be in 0..{BLOCKS - 1}")
-    choices = list(combinations(range(BLOCKS), BLOCKS - distance))
+    if BITS % blocks or not 0 <= distance < blocks:
+        raise ValueError(f"blocks must divide {BITS} and distance be in 0..{blocks - 1}")
+    choices = list(combinations(range(blocks), blocks - distance))
     v = F.col(fp)
-    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.concat_ws(",", *[_block(v, i) for i in c]).alias("bits")) for k, c in enumerate(choices)])
+    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.concat_ws(",", *[_block(v, i, blocks) for i in c]).alias("bits")) for k, c in enumerate(choices)])
     dealt = prints.select(v.alias("fp"), F.explode(keys).alias("k")).select("fp", "k.choice", F.xxhash64("k.choice", "k.bits").alias("bits"))
     a, b = dealt.withColumnRenamed("fp", "a"), dealt.withColumnRenamed("fp", "b")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.coalesce(*[F.when(F.lit(True) if not c else sum((_block(x, i) for i in c), F.lit(0)) == 0, k) for k, c in enumerate(choices)])
-    return a.join(b, ["bits", "choice"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= distance) & (first == F.col("choice"))).select("a", "b")
+    x = F.col("__x")
+    first = F.coalesce(*[F.when(F.lit(True) if not c else F.expr(f"__x & {_mask(c, blocks)}L") == 0, k) for k, c in enumerate(choices)])
+    close = a.join(b, ["bits", "choice"]).where("a < b").withColumn("__x", F.col("a").bitwiseXOR(F.col("b"))).where(F.bit_count(x) <= distance)
+    return close.where(first == F.col("choice")).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -101,17 +108,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select("a", "a").distinct().toDF("node", "root"))
 
 
-def classes(prints: DataFrame, key: str, fp: str = "fp", distance: int = 2) -> DataFrame:
+def classes(prints: DataFrame, key: str, fp: str = "fp", distance: int = 2, blocks: int = BLOCKS) -> DataFrame:
     """(key, fp, component): ``component`` is the smallest key of all documents reachable over links."""
     prints = durable(prints.select(F.col(key).alias("k"), F.col(fp).alias("fp")))
     groups = durable(prints.groupBy("fp").agg(F.min("k").alias("least")))
-    roots = durable(components(links(groups, "fp", distance)))
+    roots = durable(components(links(groups, "fp", distance, blocks)))
     member = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     of = member.join(least, "root").select("fp", "component")
     return prints.join(of, "fp", "left").select(F.col("k").alias(key), F.col("fp"), "component")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, distance: int = 2) -> DataFrame:
-    """(key, fp, component) for each row of ``df``."""
-    return classes(with_fingerprint(df, key, text, words), key, "fp", distance)
+def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, distance: int = 2, blocks: int = BLOCKS) -> DataFrame:
+    """(key, fp, component) for each row of ``df``. Of ``blocks`` equal blocks, close fingerprints share all but ``distance``."""
+    return classes(with_fingerprint(df, key, text, words), key, "fp", distance, blocks)
