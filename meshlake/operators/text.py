@@ -39,11 +39,11 @@ def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", k1: f
     none = docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
     if not terms:
         return none
-    g = docs.select(F.col(key), grams(F.col(text)).alias("g")).where(F.size("g") > 0)
-    # One fold over a document's grams fills an array of counts, a place for each term of the query.
-    wanted = F.array(*map(F.lit, terms))
-    held = F.filter("g", lambda x: F.array_contains(wanted, x))
-    tf = g.select(key, F.size("g").alias("dl"), held.alias("held")).select(key, "dl", F.transform(wanted, lambda t: F.size(F.filter("held", lambda x: x == t))).alias("tf"))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    # A gram's occurrences overlap, so its second character is looked ahead for. Native counting, without an array of grams.
+    count = lambda g: F.regexp_count("t", F.lit(f"(?s)\\Q{g[0]}\\E(?=\\Q{g[1]}\\E)")) if len(g) == 2 else (F.col("t") == g).cast("int")
+    g = docs.select(F.col(key), low.alias("t")).where("t <> ''")
+    tf = g.select(key, F.greatest(F.length("t") - 1, F.lit(1)).alias("dl"), F.array(*map(count, terms)).alias("tf"))
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
     row = stats.select("n", "avg", F.array(*[F.col(f"df{i}") for i in range(len(terms))]).alias("df"))
     idf = F.transform("df", lambda d: F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1))
