@@ -22,12 +22,13 @@ from __future__ import annotations
 import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlake.llm.common import durable, free_name
+from meshlake.llm.common import arrow_stage, durable, free_name
 
 SEED, MAX_REPEAT, SHARD_DOCS, MAX_SHARDS, MAX_BLOCK = 2024, 3, 512, 100_000, 256
 #: A prime above any shard's number of blocks: multiplying by it permutes the block numbers.
@@ -136,7 +137,7 @@ def mixed_sizes(docs: DataFrame, key: str, source: str, text: str, **how) -> Dat
 def mix(docs: DataFrame, key: str, source: str, text: str, **how) -> DataFrame:
     """The mixed corpus, in the columns of ``docs``: a row for each pass over a document, with the words of the blocks
     that the pass takes, joined by spaces; a pass over a whole document keeps its text as it is."""
-    names = {c: free_name(docs, c) for c in ("size", "begin", "block", "blocks", "full", "extra", "pass", "rid")}
+    names = {c: free_name(docs, c) for c in ("size", "begin", "block", "blocks", "full", "extra", "rid")}
     n = {k: F.col(v) for k, v in names.items()}
     rid = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     held = docs.withColumns({names["rid"]: rid, names["size"]: n_words(F.col(text))})
@@ -145,9 +146,32 @@ def mix(docs: DataFrame, key: str, source: str, text: str, **how) -> DataFrame:
     of = plan(sized, "k", "src", "size", **how).groupBy("rid").agg(F.min_by(F.struct("begin", "block", "blocks", "full", "extra"), "begin").alias("p"))
     of = of.select(F.col("rid").alias(names["rid"]), *[F.col(f"p.{c}").alias(names[c]) for c in ("begin", "block", "blocks", "full", "extra")])
     got = held.join(of, names["rid"]).where(n["size"] > 0)
-    got = got.withColumn(names["pass"], F.explode(F.sequence(F.lit(1).cast("long"), n["full"] + (n["extra"] > 0).cast("long"))))
-    words = F.filter(F.split(F.col(text), r"[ \t-\r]+"), lambda w: w != "")
-    chosen = F.filter(words, lambda _, i: _times(F.floor((n["begin"] + i) / n["block"]), n["blocks"], F.lit(0), n["extra"]) > 0)
-    got = got.withColumn(text, F.when(n["pass"] <= n["full"], F.col(text)).otherwise(F.when(F.size(words) == F.size(chosen), F.col(text)).otherwise(F.array_join(chosen, " "))))
-    got = got.where(F.col(text) != "").where((n["pass"] >= 1) & ((n["full"] > 0) | (n["extra"] > 0)))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = [free_name(docs, c) for c in ("begin", "block", "blocks", "full", "extra")]
+    at, whole = docs.columns.index(text), docs.columns
+
+    def passes(b: pa.RecordBatch) -> dict:
+        """A batch's rows once for each pass; long texts are cut here, a text at a time, where no array of words outlives it."""
+        plans = zip(*(b.column(len(whole) + i).to_pylist() for i in range(len(held))), strict=True)
+        rows, texts = [], []
+        for i, (begin, block, blocks, full, extra) in enumerate(plans):
+            raw = b.column(at)[i].as_py()
+            rows += [i] * full
+            texts += [raw] * full
+            if extra and (part := cut(raw, begin, block, blocks, extra)):
+                rows.append(i)
+                texts.append(part)
+        pick = pa.array(rows, pa.int64())
+        return {c: b.column(i).take(pick) for i, c in enumerate(whole)} | {text: pa.array(texts, pa.string())}
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return arrow_stage(got.select(*[F.col(f"`{c}`") for c in whole], *held), passes, ddl)
+
+
+def cut(text: str, begin: int, block: int, blocks: int, extra: int) -> str:
+    """The words of the blocks that the last pass takes, joined by spaces; the text as it is if it takes all of them."""
+    words = text.encode().split()  # of bytes: at the six ASCII white-space bytes only
+    chosen, n = [], len(words)
+    for b in range(begin // block, (begin + n - 1) // block + 1):
+        if (b * STRIDE + SEED) % blocks < extra:
+            chosen += words[max(0, b * block - begin) : (b + 1) * block - begin]
+    return text if len(chosen) == n else b" ".join(chosen).decode()

@@ -102,3 +102,12 @@ def test_apportion_and_mix(spark):
     for r in got:
         by.setdefault(r.source, [0, r.target])[0] += r.taken
     assert all(abs(a - t) <= max(64, t * 0.05) for a, t in by.values())
+
+
+def test_mix_takes_what_the_plan_says(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"é{j}" for j in range(i % 400)) or None, f"s{i % 4}") for i in range(400)], "doc_id long, text string, source string")
+    want = {r.doc_id: r.taken for r in mixing.mixed_sizes(docs, "doc_id", "source", "text", block=16).collect()}
+    got = {}
+    for r in mixing.mix(docs, "doc_id", "source", "text", block=16).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert sum(want.values()) > 0 and all(abs(got.get(i, 0) - n) == 0 for i, n in want.items())
