@@ -271,13 +271,16 @@ def decode(df: DataFrame, key: str, ids: str, vocab: Vocabulary) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> dict:
-        out = []
-        for x in b.column(1).to_pylist():
-            i = np.frombuffer(x or b"", "<u4")
-            if len(i) and i.max() >= len(shared.value):
-                raise ValueError(f"no such id: {i.max()}")
-            out.append(b"".join(shared.value.take(pa.array(i)).to_pylist()))
-        return {key: b.column(0), ids: b.column(1), "decoded": pa.array(out, pa.binary())}
+        packed = [x or b"" for x in b.column(1).to_pylist()]
+        i = np.frombuffer(b"".join(packed), "<u4")
+        if len(i) and i.max() >= len(shared.value):
+            raise ValueError(f"no such id: {i.max()}")
+        # The pieces of all rows lie one after another: a row's text runs from the start of its first piece to that of the next row's.
+        got = shared.value.take(pa.array(i))
+        starts = np.frombuffer(got.buffers()[1], "<i8", len(i) + 1, got.offset * 8) if len(i) else np.zeros(1, np.int64)
+        ends = starts[np.cumsum([0, *(len(x) // 4 for x in packed)])] - starts[0]
+        data = got.buffers()[2].slice(int(starts[0]), int(ends[-1])) if len(i) else pa.py_buffer(b"")
+        return {key: b.column(0), ids: b.column(1), "decoded": pa.Array.from_buffers(pa.large_binary(), len(packed), [None, pa.py_buffer(ends.tobytes()), data])}
 
     return arrow_stage(df.select(key, ids), run, f"`{key}` {kind}, `{ids}` binary, decoded binary")
 
