@@ -34,6 +34,9 @@ from meshlake.llm.common import arrow_stage, bounded_batches, durable
 #: Unicode white space (fixed values), for a character class.
 SPACES = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LONG, HOT_WORDS, HOT_BYTES = 128, 1_000_000, 16 << 20
+#: A cell of the literal map is (first token + 1) * RANKS + rank, 0 if empty; with a position of 8 bits a rank still fits an int.
+RANK_BITS = 23
+RANKS = 1 << RANK_BITS
 
 
 def java_pattern(pattern: str) -> str:
@@ -65,6 +68,8 @@ class Vocabulary:
             self.bytes_of[r] = b
         if any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
+        if self.size > RANKS:
+            raise ValueError(f"more than {RANKS} ranks")
 
     @property
     def pieces(self) -> pa.Array:
@@ -138,7 +143,9 @@ def load(path: str, pattern: str) -> Vocabulary:
 def _literals(vocab: Vocabulary) -> tuple[str, ...]:
     """The byte tokens and the rank map as text, which Spark parses once into literals."""
     single = [vocab.ranks[bytes([i])] for i in range(256)]
-    return tuple(",".join(map(str, x)) for x in (single, *(x.tolist() for x in vocab.rank_map())))
+    offset, first, ranks = vocab.rank_map()
+    cells = np.where(first < 0, 0, (first + 1) * RANKS + ranks)
+    return tuple(",".join(map(str, x)) for x in (single, offset.tolist(), cells.tolist()))
 
 
 def pieces(text: Column, vocab: Vocabulary) -> Column:
@@ -153,15 +160,15 @@ def _let(value: Column, body) -> Column:
 def fold(word: Column, vocab: Vocabulary) -> Column:
     """The ids of a word of 1 to 255 bytes: ranked merges folded over its bytes."""
 
-    def merges(single: Column, offset: Column, cells: Column, ranks: Column) -> Column:
+    def merges(single: Column, offset: Column, cells: Column) -> Column:
         def step(state: Column, _: Column) -> Column:
             t = state["t"]
 
             def key(b: Column, i: Column) -> Column:
                 """rank * 256 + i of the pair that ends at i; null where there is none."""
                 a = F.get(t, i - 1)
-                at = F.get(offset, a) + b
-                return F.when(F.get(cells, at) == a, F.get(ranks, at) * 256 + i)
+                cell = F.get(cells, F.get(offset, a) + b)
+                return F.when(F.shiftright(cell, RANK_BITS) == a + 1, cell.bitwiseAND(F.lit(RANKS - 1)).cast("int") * 256 + i)
 
             def merge(k: Column) -> Column:
                 p, token = k.bitwiseAND(F.lit(255)), F.shiftright(k, 8)
@@ -174,8 +181,8 @@ def fold(word: Column, vocab: Vocabulary) -> Column:
         n = F.octet_length(word)
         return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.struct(first.alias("t"), (n > 1).alias("go")), step, lambda s: s["t"])
 
-    a, b, c, d = (F.split(F.lit(x), ",").cast("array<int>") for x in _literals(vocab))
-    return _let(a, lambda a: _let(b, lambda b: _let(c, lambda c: _let(d, lambda d: merges(a, b, c, d)))))
+    single, offset, cells = (F.split(F.lit(x), ",").cast(f"array<{t}>") for x, t in zip(_literals(vocab), ("int", "int", "bigint"), strict=True))
+    return _let(single, lambda a: _let(offset, lambda b: _let(cells, lambda c: merges(a, b, c))))
 
 
 def _is_short(words: pa.Array) -> pa.Array:
