@@ -17,14 +17,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import bpe, mixing, secrets, simhash, toxicity
+from meshlake.llm import bpe, jaccard, mixing, secrets, toxicity
 from meshlake.session import checkpoint_dir, table
 
 #: SQL can't express the classifier, the forest or the tokenizer: tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
-#: Bits in which the fingerprints of near copies differ: on five-word shingles 5 catches those with a similarity of
-#: 0.8 or more but for a few, and other texts lie further apart (README, near duplicates).
-DISTANCE, BLOCKS, WORDS = 5, 8, 5
+#: Near copies have this Jaccard similarity of their five-word shingles or more.
+SHARE, WORDS = 0.8, 5
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -43,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group the document with the smallest id; of rows alike in all columns one."""
     row = F.struct("doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
     packed = docs.select(row.alias("row"), F.col("text").alias("t"), F.struct("*").alias("doc"))
-    got = simhash.near_duplicates(packed, "row", "t", WORDS, DISTANCE, BLOCKS)
+    got = jaccard.near_duplicates(packed, "row", "t", WORDS, SHARE)
     first = got.where(F.col("row") == F.col("component")).select("row").distinct()
     # The join has dealt the rows by the same key: dropping repeated rows needs no further shuffle.
     return packed.join(first, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

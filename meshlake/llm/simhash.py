@@ -26,15 +26,22 @@ from meshlake.llm.common import arrow_stage, durable
 BITS, BLOCKS, SEED = 64, 4, 42
 
 
-def fingerprint(text: str | bytes | None, words: int) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def hashes(text: str | bytes | None, words: int) -> np.ndarray:
+    """Of each word shingle of a text; a text of fewer words is one shingle."""
     raw = text.encode() if isinstance(text, str) else text or b""
     w = raw.lower().split()  # of bytes: lower-cases A-Z and splits at the six ASCII white-space bytes only
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+
+
+def fingerprint(text: str | bytes | None, words: int) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    h = hashes(text, words)
+    if not len(h):
+        return 0
     # Sums of 255 rows of bits at most fit a byte.
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
