@@ -23,14 +23,15 @@ from meshlake.llm.common import ascii_lower, free_name
 
 MAX_FINDINGS, TREES, DEPTH, SEED, CUT, MASK = 20_000, 15, 5, 17, 0.5, "[SECRET]"
 BOUND, AFTER = r"(?<![A-Za-z0-9+/_-])", r"(?![A-Za-z0-9+/_-])"
-#: Kinds of candidates and their patterns, the candidate in group 1 (formats are fixed values, public).
+#: Kinds of candidates and their patterns, the candidate in group 1 (formats are fixed values, public). None has an upper bound
+#: but for formats of one length: a candidate is the whole string. Possessive quantifiers keep them linear.
 PATTERNS = {
     "private_key": r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)",
     "cloud_id": BOUND + r"((?:AKIA|ASIA)[A-Z0-9]{16})" + AFTER,
-    "prefixed": BOUND + r"((?:gh[opsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,64}|xox[abp]-[A-Za-z0-9-]{10,80}|AIza[A-Za-z0-9_-]{35}))" + AFTER,
-    "web_token": BOUND + r"(eyJ[A-Za-z0-9_-]{8,400}\.[A-Za-z0-9_-]{8,800}\.[A-Za-z0-9_-]{8,200})" + AFTER,
-    "assigned": r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([a-z0-9+/=_.!@#$%^&*-]{8,200})",
-    "opaque": BOUND + r"([A-Za-z0-9+/_-]{32,200}={0,2})" + AFTER,
+    "prefixed": BOUND + r"((?:gh[opsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}+|xox[abp]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}))" + AFTER,
+    "web_token": BOUND + r"(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)" + AFTER,
+    "assigned": r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([a-z0-9+/=_.!@#$%^&*-]{8,}+)",
+    "opaque": BOUND + r"([A-Za-z0-9+/_-]{32,}+={0,2})" + AFTER,
 }
 #: Words of placeholders and of ordinary names (fixed values).
 DICTIONARY = "access account admin auth change changeme client code config data default demo development document dummy example fake file foo bar hello here image index insert key link local module my name null number object page password placeholder public replace sample secret server service session string temp test text the this token type user value version world your".split()
