@@ -8,7 +8,7 @@ then become built-in expressions, so that scanning, scoring and redacting work o
 
 Edge cases: null and empty texts have no candidates and stay as they are; a null path is an empty one. Repeated
 rows each get their row; an empty table gives an empty result. A candidate that is part of another is replaced
-after the longer one. Without findings of both classes the forest gives that class's share to all (0.5 if none).
+after the longer one. A private key is its block up to the END line, or to the end of the text where that is missing. Without findings of both classes the forest gives that class's share to all (0.5 if none).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ BOUND, AFTER = r"(?<![A-Za-z0-9+/_-])", r"(?![A-Za-z0-9+/_-])"
 #: Kinds of candidates and their patterns, the candidate in group 1 (formats are fixed values, public). None has an upper bound
 #: but for formats of one length: a candidate is the whole string. Possessive quantifiers keep them linear.
 PATTERNS = {
-    "private_key": r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)",
+    "private_key": r"(-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----|\z))",
     "cloud_id": BOUND + r"((?:AKIA|ASIA)[A-Z0-9]{16})" + AFTER,
     "prefixed": BOUND + r"((?:gh[opsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}+|xox[abp]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}))" + AFTER,
     "web_token": BOUND + r"(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)" + AFTER,

@@ -29,3 +29,12 @@ def test_long_values_are_masked_whole(spark, forest):
     assert redacted(spark, forest, texts) == ["x [SECRET] y", "key: [SECRET] z", "password=[SECRET] end", 'api_key = "[SECRET]" end', "a [SECRET] b"]
     image = f"see data:image/png;base64,{chars(rng, 3000)}"
     assert redacted(spark, forest, [image]) == [image]
+
+
+def test_private_key_blocks_are_masked_whole(spark, forest):
+    rng, texts = random.Random(6), []
+    for kind in ("RSA ", "", "OPENSSH ", "EC ", "ENCRYPTED ") * 20:
+        body = "\n".join(chars(rng, 64, ALNUM + "+/") for _ in range(rng.randrange(3, 50))) + f"\n{chars(rng, 20)}=="
+        texts.append(f"a\n-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----\nafter")
+    whole, cut = redacted(spark, forest, texts), redacted(spark, forest, [t[: t.index("-----END")] for t in texts])
+    assert set(whole) == {"a\n[SECRET]\nafter"} and set(cut) == {"a\n[SECRET]"}
