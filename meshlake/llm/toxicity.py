@@ -7,7 +7,8 @@ only next to the mention of a group is learnt as such a pair, which no sum of si
 
 The machine is fitted on the driver by AdaGrad with proximal L1 (weights) and L2 (factors) on at most ``per_class``
 labelled rows of each class, those with the smallest seeded hash of their id; terms in fewer than ``min_rows`` of
-them are left out, and of the rest the ``max_terms`` with the largest chi-square stay. The model is therefore bounded whatever the corpus; scoring is one Arrow stage without a shuffle.
+them are left out, and of the rest the ``max_terms`` with the largest chi-square stay. The bias is then shifted from the
+sample's log-odds of the classes to those of all training labels, so the cap doesn't move the scores. The model is therefore bounded whatever the corpus; scoring is one Arrow stage without a shuffle.
 
 Edge cases: null and empty texts have no terms and score the bias. Repeated label rows of an id count once, the
 larger label wins, and null labels are left out. With labels of one class or none, every score is that class's
@@ -142,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p
     spark = docs.sparkSession
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("y IS NOT NULL AND k IS NOT NULL")
     known = known.where(~held_out("k")).groupBy("k").agg(F.max("y").alias("y"))
+    count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("k", F.lit(SEED)), "k").limit(per_class).collect()]
     sample = spark.createDataFrame([(r.k, r.y) for r in picked], known.schema)
     terms = Terms(bits)
@@ -149,7 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("k", "y", "t")
     found = arrow_stage(rows, lambda b: {"k": b.column(0), "y": b.column(1), "terms": [terms(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()]}, f"k {kind}, y int, terms binary")
     got = sorted(found.groupBy("k").agg(F.min("y").alias("y"), F.min("terms").alias("terms")).collect(), key=lambda r: r.k)
-    return fit([np.frombuffer(r.terms, "<i4") for r in got], [r.y for r in got], bits, **how)
+    machine = fit([np.frombuffer(r.terms, "<i4") for r in got], [r.y for r in got], bits, **how)
+    if len({r.y for r in got}) == 2:
+        taken = [min(count[y], per_class) for y in (0, 1)]
+        machine.bias += float(np.log(count[1] / taken[1]) - np.log(count[0] / taken[0]))
+    return machine
 
 
 def score(docs: DataFrame, text: str, machine: Machine, out: str = "score") -> DataFrame:
