@@ -2,8 +2,8 @@
 
 Candidates are the distinct strings of a text that one of ``PATTERNS`` finds. Each has features: length, transitions
 between character classes, distinct characters, shares of digits and of dictionary words, whether all is hexadecimal, its pattern,
-its path and its neighbouring words (those around its first occurrence). A random forest that is trained from labelled findings
-scores them. Training is on the driver, on at most ``MAX_FINDINGS`` findings (those with the smallest seeded hash); the trees
+its path and its neighbouring words. A random forest that is trained from labelled findings scores each of its occurrences; the
+highest probability decides for the string. Training is on the driver, on at most ``MAX_FINDINGS`` findings (those with the smallest seeded hash); the trees
 then become built-in expressions, so that scanning, scoring and redacting work on one row each: no shuffle, no Python.
 
 Edge cases: null and empty texts have no candidates and stay as they are; a null path is an empty one. Repeated
@@ -124,11 +124,15 @@ def scan(df: DataFrame, text: str, path: str | None, forest: list[Tree], cut: fl
     once = F.filter(order, lambda c: F.array_position(F.transform(order, lambda o: o["value"]), c["value"]) == c["i"] + 1)
 
     def judged(c: Column) -> Column:
-        at = F.call_function("locate", c["value"], t)
-        left = F.substring(t, F.greatest(at - 48, F.lit(1)), F.least(at - 1, F.lit(48)))
-        right = F.substring(t, at + F.length(c["value"]), F.lit(24))
-        x = F.array(*features(c["value"], c["kind"], left, right, p))
-        prob = F.transform(F.array(x), lambda x: probability(forest, x))[0]
+        parts = F.split(t, F.concat(F.lit(r"\Q"), F.replace(c["value"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(-1))
+        # A value has 8 characters at least: six pieces before it hold 48 characters or the text's start, four after it 24 or the end.
+        around = lambda parts, i: F.struct(
+            F.right(F.call_function("array_join", F.slice(parts, F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6))), c["value"]), F.lit(48)).alias("left"),
+            F.substring(F.call_function("array_join", F.slice(parts, i + 1, F.lit(4)), c["value"]), 1, 24).alias("right"),
+        )
+        # As the element of an array the pieces are split once a value, not once an occurrence.
+        places = F.transform(F.array(parts), lambda ps: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ps) - 1, F.lit(1))), lambda i: around(ps, i))))[0]
+        prob = F.array_max(F.transform(places, lambda w: F.transform(F.array(F.array(*features(c["value"], c["kind"], w["left"], w["right"], p))), lambda x: probability(forest, x))[0]))
         return F.struct(c["value"].alias("value"), c["kind"].alias("kind"), prob.alias("probability"), (prob >= cut).alias("secret"))
 
     name, red = free_name(df, "findings"), free_name(df, "redacted")

@@ -38,3 +38,9 @@ def test_private_key_blocks_are_masked_whole(spark, forest):
         texts.append(f"a\n-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----\nafter")
     whole, cut = redacted(spark, forest, texts), redacted(spark, forest, [t[: t.index("-----END")] for t in texts])
     assert set(whole) == {"a\n[SECRET]\nafter"} and set(cut) == {"a\n[SECRET]"}
+
+
+def test_later_occurrences_are_looked_at(spark, forest):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f"see commit {key} and then {'word ' * 20} token = \"{key}\" b", f"see commit {key} and md5 {key}"]
+    assert redacted(spark, forest, texts) == [texts[0].replace(key, "[SECRET]"), texts[1]]
