@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from meshlake.session import durable, table
 
-__all__ = ["arrow_stage", "ascii_lower", "bounded_batches", "durable", "free_name", "table"]
+__all__ = ["arrow_column", "arrow_stage", "ascii_lower", "bounded_batches", "durable", "free_name", "let", "release", "row_hash", "set_aside", "table"]
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker; long texts then can't fill a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -28,8 +31,42 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def arrow_stage(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function from a batch to columns by name, in the order of ``schema``."""
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back: a Python worker is kept for later tasks beside the executor's heap, the driver's Python beside its own."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def arrow_column(df: DataFrame, out: str, fn: Callable[..., pa.Array], kind: str, *columns: Column) -> DataFrame:
+    """``df`` with ``out``, a function of Arrow arrays: only ``columns`` go to Python, the others stay where they are."""
+
+    def run(batches: Iterator) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield fn(*(batch if isinstance(batch, tuple) else (batch,)))
+            release()
+
+    if len(columns) == 1:
+
+        def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from run(batches)
+    else:
+
+        def f(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            yield from run(batches)
+
+    return bounded_batches(df).withColumn(out, arrow_udf(f, kind)(*columns))
+
+
+def arrow_stage(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterable[dict] | None], schema: str) -> DataFrame:
+    """``mapInArrow`` of a function from a batch to columns by name (or to several such), in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -37,11 +74,13 @@ def arrow_stage(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = fn(batch)
-            if got is not None:
+            found = fn(batch)
+            for got in [found] if isinstance(found, dict) else found or ():
                 yield pa.RecordBatch.from_arrays(
                     [v.cast(f.type) if isinstance(v := got[f.name], pa.Array) else pa.array(v, f.type) for f in out], schema=out
                 )
+            found = got = None
+            release()
 
     return bounded_batches(df).mapInArrow(run, schema)
 
@@ -57,3 +96,25 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` whose columns that are called like one of ``names``, by any case, are kept as ``<name>_input``."""
+    wanted = {n.lower() for n in names}
+    for c in [c for c in df.columns if c.lower() in wanted]:
+        to, have = f"{c}_input", {x.lower() for x in df.columns}
+        while to.lower() in have:
+            to += "_"
+        df = df.withColumnRenamed(c, to)
+    return df
+
+
+def row_hash(df: DataFrame) -> Column:
+    """128 bits of a row's columns; which of them are null counts too."""
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]

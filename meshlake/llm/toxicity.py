@@ -13,7 +13,7 @@ sample's log-odds of the classes to those of all training labels, so the cap doe
 Edge cases: null and empty texts have no terms and score the bias. Repeated label rows of an id count once, the
 larger label wins, and null labels are left out. With labels of one class or none, every score is that class's
 share (0 without labels). Repeated documents each get their row; of differing texts of one id, training takes the
-one with the smaller term list. An empty table gives an empty result.
+one with the smaller term list. An empty table gives an empty result. A column called like the score is kept as ``score_input``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import arrow_stage, free_name
+from meshlake.llm.common import arrow_column, arrow_stage, free_name, release, set_aside
 
 WORD = re.compile(r"[^\W_]+")
 PER_CLASS, BITS, RANK, EPOCHS, SEED, CACHE = 4000, 18, 6, 12, 11, 200_000
@@ -97,8 +97,14 @@ def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, rank: int =
     if not len(y) or y.min() == y.max():
         none.bias = 40.0 if len(y) and y[0] else -40.0
         return none
-    columns, where, n_rows = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    hits = np.bincount(where, np.repeat(y, [len(r) for r in rows]), len(columns))
+    n_rows, hits = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
+    for a in range(0, len(rows), 256):  # in parts: the driver never holds all terms twice
+        part = rows[a : a + 256]
+        flat = np.concatenate(part)
+        n_rows += np.bincount(flat, minlength=1 << bits)
+        hits += np.bincount(flat, np.repeat(y[a : a + 256], [len(r) for r in part]), 1 << bits)
+    columns = np.flatnonzero(n_rows)
+    n_rows, hits = n_rows[columns], hits[columns]
     n, n1 = len(y), y.sum()
     spread = np.maximum(n1 * (n - n1) * n_rows * (n - n_rows), 1)
     chi = n * (hits * (n - n1) - (n_rows - hits) * n1) ** 2 / spread
@@ -144,33 +150,33 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("y IS NOT NULL AND k IS NOT NULL")
     known = known.where(~held_out("k")).groupBy("k").agg(F.max("y").alias("y"))
     count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("k", F.lit(SEED)), "k").limit(per_class).collect()]
+    picked = [r for c in (0, 1) for r in known.where(F.col("y") == c).orderBy(F.xxhash64("k", F.lit(SEED)), "k").limit(per_class).collect()]
     sample = spark.createDataFrame([(r.k, r.y) for r in picked], known.schema)
     terms = Terms(bits)
     kind = known.schema["k"].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("k", "y", "t")
     found = arrow_stage(rows, lambda b: {"k": b.column(0), "y": b.column(1), "terms": [terms(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()]}, f"k {kind}, y int, terms binary")
-    got = sorted(found.groupBy("k").agg(F.min("y").alias("y"), F.min("terms").alias("terms")).collect(), key=lambda r: r.k)
-    machine = fit([np.frombuffer(r.terms, "<i4") for r in got], [r.y for r in got], bits, **how)
-    if len({r.y for r in got}) == 2:
-        taken = [min(count[y], per_class) for y in (0, 1)]
+    got = found.groupBy("k").agg(F.min("y").alias("y"), F.min("terms").alias("terms")).toArrow().sort_by("k")
+    y = got.column("y").to_pylist()
+    machine = fit([np.frombuffer(x.as_buffer(), "<i4") for x in got.column("terms")], y, bits, **how)
+    del got
+    release()
+    if len(set(y)) == 2:
+        taken = [min(count[c], per_class) for c in (0, 1)]
         machine.bias += float(np.log(count[1] / taken[1]) - np.log(count[0] / taken[0]))
     return machine
 
 
 def score(docs: DataFrame, text: str, machine: Machine, out: str = "score") -> DataFrame:
-    """``docs`` with a score between 0 and 1."""
-    name = free_name(docs, out)
+    """``docs`` with a score between 0 and 1; a column that is called like it is kept as ``score_input``."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    kept = list(docs.columns)
     state: dict = {}
 
-    def run(b: pa.RecordBatch) -> dict:
+    def run(texts: pa.Array) -> pa.Array:
         m = shared.value
         if "terms" not in state:
             state["terms"] = Terms(m.bits, m.columns)
-        return {c: b.column(i) for i, c in enumerate(kept)} | {name: m.scores(b.column(kept.index(text)).to_pylist(), state["terms"])}
+        return pa.array(m.scores(texts.to_pylist(), state["terms"]), pa.float64())
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    got = arrow_stage(docs, run, f"{ddl}, {name} double")
-    return (got.drop(out) if out in kept else got).withColumnRenamed(name, out)
+    name = free_name(docs, out)
+    return set_aside(arrow_column(docs, name, run, "double", F.col(text)), out).withColumnRenamed(name, out)

@@ -111,3 +111,31 @@ def test_mix_takes_what_the_plan_says(spark):
     for r in mixing.mix(docs, "doc_id", "source", "text", block=16).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
     assert sum(want.values()) > 0 and all(abs(got.get(i, 0) - n) == 0 for i, n in want.items())
+
+
+def test_columns_called_like_results_are_kept(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", "Licensed under the MIT License.", "p")], "id long, path string, text string, PATH2 string")
+    for n in ("score", "licences", "findings", "redacted", "host", "rule"):
+        df = df.withColumn(n, F.lit(n))
+    forest = [secrets.Tree(share=0.1)]
+    machine = toxicity.fit([], [])
+    for got, names in (
+        (toxicity.score(df, "text", machine), ["score"]), (licenses.scan(df, "text"), ["licences"]), (secrets.scan(df, "text", "path", forest), ["findings", "redacted"]),
+        (filter_urls(df, "path", queries.URL_RULES, spark.createDataFrame([], "c string"), "c"), ["host", "rule"]),
+    ):
+        row = got.first().asDict()
+        assert len(got.columns) == len(set(got.columns)) and all(row[f"{n}_input"] == n for n in names), got.columns
+    assert (row["path_input"], row["host"], row["path"]) == ("http://a.net/x", "a.net", "/x")
+
+
+def test_mix_tells_rows_apart_by_where_they_are_null(spark):
+    docs = spark.createDataFrame([(1, "x y", None, "s"), (1, "x y", "s", None)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, "doc_id", "source", "text", max_repeat=1, block=1)
+    assert sorted((r.lang or "", r.source or "") for r in got.collect()) == [("", "s"), ("s", "")]
+
+
+def test_mix_blocks_are_a_seeded_permutation():
+    for n in (1, 2, 7, 12, 331):
+        stride, shift = mixing.turn(5, 1, 3, n)
+        assert sorted((b * stride + shift) % n for b in range(n)) == list(range(n)) and mixing.turn(5, 1, 3, n) == (stride, shift)
+    assert len({mixing.turn(seed, 0, 0, 331) for seed in range(9)}) > 5
