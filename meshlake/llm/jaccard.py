@@ -1,7 +1,9 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles, candidates by MinHash bands.
+"""Near duplicates by the exact Jaccard similarity of word shingles: SimHash classes first, MinHash bands for what they can't reach.
 
 A text's set is the distinct XXH64 hashes of its word shingles. Texts with equal sets are one node from there on, copies however
-many. A node is dealt out to ``BANDS`` buckets, each keyed by ``ROWS`` minima of the set; two sets with a similarity s meet in
+many. Nodes whose fingerprints the SimHash operator puts in one class are compared with the class's first node. That reaches pairs of
+about 0.95 or more; pairs down to 0.8 differ in some ten bits of 64, for which no blocks of a fingerprint are both shared and
+selective. A node is therefore dealt out as well to ``BANDS`` buckets, each keyed by ``ROWS`` minima of the set; two sets with a similarity s meet in
 some bucket with a probability of 1 - (1 - s ** ROWS) ** BANDS, which is over 0.9999 at 0.8. Every pair that meets is settled:
 first each node with the least of its bucket, then all pairs in a bucket that the first links left in different components.
 A pair is a link if its exact similarity is ``share`` or more; a large group of near copies therefore needs few comparisons.
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlake.llm.common import arrow_stage, durable
-from meshlake.llm.simhash import components, hashes
+from meshlake.llm.simhash import classes, components, hashes, majority
 
 BANDS, ROWS, SEED = 20, 4, 42
 _RNG = np.random.default_rng(SEED)
@@ -42,9 +44,10 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def _marks(b: pa.RecordBatch, words: int) -> dict:
-    sets = [shingle_set(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
+    all_ = [hashes(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
+    sets = [np.unique(h) for h in all_]
     node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-    return {"k": b.column(0), "node": node, "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]}
+    return {"k": b.column(0), "node": node, "n": [len(s) for s in sets], "bands": [bands(s) for s in sets], "fp": [majority(h) for h in all_]}
 
 
 def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
@@ -58,13 +61,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: f
     """(key, component) for each row of ``df``: the smallest key of all documents reachable over links."""
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = docs.schema["k"].dataType.simpleString()
-    rows = durable(arrow_stage(docs, lambda b: _marks(b, words), f"k {kind}, node bigint, n int, bands array<bigint>"))
-    nodes = durable(rows.groupBy("node").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    rows = durable(arrow_stage(docs, lambda b: _marks(b, words), f"k {kind}, node bigint, n int, bands array<bigint>, fp bigint"))
+    nodes = durable(rows.groupBy("node").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
+    near = durable(classes(nodes, "node", "fp").where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")))
     dealt = nodes.select("node", "n", "least", F.posexplode("bands").alias("band", "bits")).select("node", "n", "least", F.xxhash64("band", "bits").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
     dealt = durable(dealt.join(shared, "bucket"))
-    # Sets of those alone that share a bucket, from the text of one document each.
-    wanted = dealt.groupBy("node").agg(F.first("least").alias("k"))
+    # Sets of those alone that are compared, from the text of one document each.
+    asked = near.select("a").union(near.select("b")).union(dealt.select("node")).distinct().toDF("node")
+    wanted = asked.join(nodes, "node").select("node", F.col("least").alias("k"))
     picked = docs.join(wanted, "k").select("node", "t")
     found = arrow_stage(picked, lambda b: {"node": b.column(0), "found": [shingle_set(t, words).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]}, "node bigint, found array<bigint>")
     sets = durable(found.groupBy("node").agg(F.first("found").alias("found")))
@@ -73,7 +78,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: f
         return f"least({x}, {y}) >= {share} * greatest({x}, {y}) - 1e-9"
 
     size = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    stars = dealt.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"), "n").distinct()
+    stars = dealt.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).union(near).distinct().join(size.toDF("b", "n"), "b")
     links = durable(similar(stars.join(size, "a").where(fits("n_a", "n")).select("a", "b"), sets, share))
     roots = durable(components(links))
     now = dealt.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))

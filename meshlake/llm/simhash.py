@@ -5,6 +5,8 @@ Documents are first grouped by fingerprint (map-side combined), so copies howeve
 Distinct fingerprints that differ in at most ``distance`` bits share at least ``blocks - distance`` of their ``blocks``
 equal blocks (4 of 16 bits unless said): each is dealt out under every choice of that many blocks, joined on the choice and its bits, and the
 pairs are verified by Hamming distance. A pair is kept only at the first choice on which it agrees, so none repeats.
+A group of more than ``CROWD`` fingerprints isn't joined with itself: what its fingerprints don't share yet is split into blocks
+again, and so on. Each time that leaves fewer bits, so the last groups are small by themselves and no pair is lost.
 Components come from alternating large-star and small-star steps over the links, which end in logarithmic rounds.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other. Repeated rows each get their
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from meshlake.llm.common import arrow_stage, durable
 
-BITS, BLOCKS, SEED = 64, 4, 42
+BITS, BLOCKS, SEED, CROWD = 64, 4, 42, 256
 
 
 def hashes(text: str | bytes | None, words: int) -> np.ndarray:
@@ -39,7 +41,11 @@ def hashes(text: str | bytes | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | bytes | None, words: int) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    h = hashes(text, words)
+    return majority(hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """Of hashes: the bits that over half of them have, as a signed 64-bit integer."""
     if not len(h):
         return 0
     # Sums of 255 rows of bits at most fit a byte.
@@ -58,29 +64,40 @@ def with_fingerprint(df: DataFrame, key: str, text: str, words: int = 5, out: st
     )
 
 
-def _block(fp: Column, i: int, blocks: int) -> Column:
-    return F.shiftrightunsigned(fp, i * BITS // blocks).bitwiseAND(F.lit((1 << BITS // blocks) - 1))
-
-
-def _mask(choice: tuple[int, ...], blocks: int) -> int:
-    """The bits of the chosen blocks, as a signed 64-bit integer."""
-    bits = sum((1 << BITS // blocks) - 1 << i * BITS // blocks for i in choice)
-    return bits - (1 << BITS) if bits >> BITS - 1 else bits
+def _part(v: Column, blocks: tuple[int, ...], size: int) -> Column:
+    """The chosen blocks of ``size`` bits, side by side."""
+    one = lambda i: F.shiftrightunsigned(v, i * size).bitwiseAND(F.lit((1 << size) - 1))
+    out = F.lit(0).cast("long")
+    for at, i in enumerate(blocks):
+        out = out.bitwiseOR(F.shiftleft(one(i), at * size))
+    return out
 
 
-def links(prints: DataFrame, fp: str = "fp", distance: int = 2, blocks: int = BLOCKS) -> DataFrame:
+def links(prints: DataFrame, fp: str = "fp", distance: int = 2, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: the pairs of distinct fingerprints that differ in 1 to ``distance`` bits. ``prints[fp]`` holds no value twice."""
     if BITS % blocks or not 0 <= distance < blocks:
         raise ValueError(f"blocks must divide {BITS} and distance be in 0..{blocks - 1}")
-    choices = list(combinations(range(blocks), blocks - distance))
-    v = F.col(fp)
-    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.concat_ws(",", *[_block(v, i, blocks) for i in c]).alias("bits")) for k, c in enumerate(choices)])
-    dealt = prints.select(v.alias("fp"), F.explode(keys).alias("k")).select("fp", "k.choice", F.xxhash64("k.choice", "k.bits").alias("bits"))
-    a, b = dealt.withColumnRenamed("fp", "a"), dealt.withColumnRenamed("fp", "b")
+    choices = [(c, tuple(i for i in range(blocks) if i not in c)) for c in combinations(range(blocks), blocks - distance)]
     x = F.col("__x")
-    first = F.coalesce(*[F.when(F.lit(True) if not c else F.expr(f"__x & {_mask(c, blocks)}L") == 0, k) for k, c in enumerate(choices)])
-    close = a.join(b, ["bits", "choice"]).where("a < b").withColumn("__x", F.col("a").bitwiseXOR(F.col("b"))).where(F.bit_count(x) <= distance)
-    return close.where(first == F.col("choice")).select("a", "b")
+    # ``rest`` holds the ``width`` bits in which a group's fingerprints may differ.
+    now, width, out = prints.select(F.col(fp).alias("fp"), F.lit(0).cast("long").alias("group"), F.col(fp).alias("rest")), BITS, None
+    while now is not None:
+        size = width // blocks
+        rest, more = F.col("rest"), distance * size
+        keys = [F.struct(F.lit(k).alias("choice"), F.xxhash64("group", F.lit(k), _part(rest, same, size)).alias("in"), _part(rest, other, size).alias("left")) for k, (same, other) in enumerate(choices)]
+        dealt = now.select("fp", "rest", F.explode(F.array(*keys)).alias("k")).select("fp", "rest", "k.choice", F.col("k.in").alias("group"), "k.left")
+        sizes = dealt.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+        dealt = durable(dealt.join(sizes, "group"))
+        last = more % blocks != 0 or more == 0
+        few = dealt if last else dealt.where(F.col("n") <= crowd)
+        a, b = (few.select("group", "choice", F.col("fp").alias(c), F.col("rest").alias(f"rest_{c}")) for c in "ab")
+        close = a.join(b, ["group", "choice"]).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).withColumn("__x", F.col("rest_a").bitwiseXOR(F.col("rest_b")))
+        first = F.coalesce(*[F.when(_part(x, same, size) == 0, k) for k, (same, _) in enumerate(choices)])
+        close = close.where(first == F.col("choice")).select("a", "b")
+        out = close if out is None else out.union(close)
+        many = None if last else dealt.where(F.col("n") > crowd).select("fp", "group", F.col("left").alias("rest"))
+        now, width = (None, 0) if many is None or many.isEmpty() else (many, more)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -98,8 +115,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return out.toDF("a", "b").distinct()
 
     def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        return (r[0], r[1])
+        r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        return (r[0], r[1])  # no sum: that could overflow
 
     e = durable(edges.distinct())
     was = mark(e)
