@@ -1,14 +1,19 @@
 """Secret scan [native]: pattern candidates, false positives removed by a random forest.
 
-Candidates are the distinct strings of a text that one of ``PATTERNS`` finds. Each has features: length, transitions
-between character classes, distinct characters, shares of digits and of dictionary words, whether all is hexadecimal, its pattern,
-its path and its neighbouring words. A random forest that is trained from labelled findings scores each of its occurrences; the
-highest probability decides for the string. Training is on the driver, on at most ``MAX_FINDINGS`` findings (those with the smallest seeded hash); the trees
+One pass of one regular expression finds a text's candidates and cuts the text between them: strings of known formats, values
+assigned to telling names, and long opaque strings. None has an upper bound, so a candidate is always the whole string.
+Each occurrence has features: length, transitions between character classes, distinct characters, shares of digits and of
+dictionary words, whether all is hexadecimal, its kind, its path and its neighbouring words. A random forest that is trained from
+labelled findings scores them; of a string that occurs more than once the highest probability decides for all its occurrences.
+Training is on the driver, on at most ``MAX_FINDINGS`` findings (those with the smallest seeded hash); the trees
 then become built-in expressions, so that scanning, scoring and redacting work on one row each: no shuffle, no Python.
+Finding and scoring take time in proportion to the text; masking scans it once for each distinct secret.
 
 Edge cases: null and empty texts have no candidates and stay as they are; a null path is an empty one. Repeated
-rows each get their row; an empty table gives an empty result. A candidate that is part of another is replaced
-after the longer one. A private key is its block up to the END line, or to the end of the text where that is missing. Without findings of both classes the forest gives that class's share to all (0.5 if none).
+rows each get their row; an empty table gives an empty result. A string is masked wherever the text has it, inside longer words
+too; one that is part of another is replaced after the longer one. A private key is its block up to the END line, or to the end of
+the text where that is missing. Without findings of both classes the forest gives that class's share to all (0.5 if none).
+Columns called findings or redacted are kept as ``findings_input`` and ``redacted_input``.
 """
 
 from __future__ import annotations
@@ -19,20 +24,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import ascii_lower, free_name
+from meshlake.llm.common import ascii_lower, free_name, let, set_aside
 
 MAX_FINDINGS, TREES, DEPTH, SEED, CUT, MASK = 20_000, 15, 5, 17, 0.5, "[SECRET]"
 BOUND, AFTER = r"(?<![A-Za-z0-9+/_-])", r"(?![A-Za-z0-9+/_-])"
-#: Kinds of candidates and their patterns, the candidate in group 1 (formats are fixed values, public). None has an upper bound
-#: but for formats of one length: a candidate is the whole string. Possessive quantifiers keep them linear.
+#: What a private key's block may follow without a space: it isn't taken for a part of what stands before it.
+BEGIN = r"-(?!----BEGIN )"
+#: Names that values are assigned to, up to the value.
+NAMED = r"(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+#: Kinds of candidates and their patterns (formats are fixed values, public). None has an upper bound but for formats of one length:
+#: a candidate is the whole string. Possessive quantifiers keep them linear. The first kind that fits a whole candidate is its kind.
 PATTERNS = {
-    "private_key": r"(-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----|\z))",
-    "cloud_id": BOUND + r"((?:AKIA|ASIA)[A-Z0-9]{16})" + AFTER,
-    "prefixed": BOUND + r"((?:gh[opsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}+|xox[abp]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}))" + AFTER,
-    "web_token": BOUND + r"(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)" + AFTER,
-    "assigned": r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([a-z0-9+/=_.!@#$%^&*-]{8,}+)",
-    "opaque": BOUND + r"([A-Za-z0-9+/_-]{32,}+={0,2})" + AFTER,
+    "private_key": r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----|\z)",
+    "cloud_id": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
+    "prefixed": r"(?:gh[opsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}+|xox[abp]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35})",
+    "web_token": r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+    "assigned": rf"(?!(?i:{NAMED}))(?:[A-Za-z0-9+/=_.!@#$%^&*]|{BEGIN}){{8,}}+",
+    "opaque": rf"(?:[A-Za-z0-9+/_]|{BEGIN}){{32,}}+={{0,2}}",
 }
+#: Any candidate, with the name that it is assigned to.
+CANDIDATE = "|".join([PATTERNS["private_key"], *(f"{BOUND}{PATTERNS[k]}{AFTER}" for k in ("cloud_id", "prefixed", "web_token")), rf"(?i:(?<![a-z]){NAMED}){PATTERNS['assigned']}", f"{BOUND}{PATTERNS['opaque']}{AFTER}"])
 #: Words of placeholders and of ordinary names (fixed values).
 DICTIONARY = "access account admin auth change changeme client code config data default demo development document dummy example fake file foo bar hello here image index insert key link local module my name null number object page password placeholder public replace sample secret server service session string temp test text the this token type user value version world your".split()
 SECRET_WORDS = r"(?i)(key|token|secret|passw|pwd|auth|credential|login|bearer)"
@@ -113,38 +124,40 @@ def probability(forest: list[Tree], x: Column) -> Column:
     return sum((of(t) for t in forest[1:]), of(forest[0])) / len(forest)
 
 
+def occurrences(text: Column, path: Column, forest: list[Tree]) -> Column:
+    """array<struct<value, kind, probability>> of all candidates of a text, in its order."""
+
+    def judged(between: Column, found: Column, m: Column, i: Column) -> Column:
+        name = F.regexp_extract(m, f"^((?i:{NAMED})){PATTERNS['assigned']}$", 1)
+        value = F.substring(m, F.length(name) + 1, F.length(m))
+        kind = F.when(name != "", "assigned").otherwise("opaque")
+        for k in ("web_token", "prefixed", "cloud_id", "private_key"):
+            kind = F.when(value.rlike(f"^(?:{PATTERNS[k]})$"), k).otherwise(kind)
+        near = lambda j: F.coalesce(F.get(found, j), F.lit(""))
+        left = F.right(F.concat(F.right(near(i - 1), F.lit(48)), F.get(between, i), name), F.lit(48))
+        right = F.substring(F.concat(F.get(between, i + 1), near(i + 1)), 1, 24)
+        of = F.struct(value.alias("value"), kind.alias("kind"), left.alias("left"), right.alias("right"))
+        return let(of, lambda c: F.struct(c["value"].alias("value"), c["kind"].alias("kind"), let(F.array(*features(c["value"], c["kind"], c["left"], c["right"], path)), lambda x: probability(forest, x)).alias("probability")))
+
+    cut = F.split(text, F.lit(CANDIDATE), F.lit(-1))
+    return let(cut, lambda between: let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda found: F.transform(found, lambda m, i: judged(between, found, m, i))))
+
+
 def scan(df: DataFrame, text: str, path: str | None, forest: list[Tree], cut: float = CUT) -> DataFrame:
-    """``df`` with ``findings`` array<struct<value, kind, probability, secret>> and ``redacted``, the text with secrets masked."""
+    """``df`` with ``findings`` array<struct<value, kind, probability, secret>>, a row for each distinct value in its order, and
+    ``redacted``, the text with secrets masked."""
     t, p = F.col(text), F.col(path) if path else F.lit("")
-    one = "|".join(f"(?:{r.removeprefix('(?i)')})" if not r.startswith("(?i)") else f"(?i:{r[4:]})" for r in PATTERNS.values())
     none = F.array().cast("array<struct<value:string,kind:string,probability:double,secret:boolean>>")
-    found = F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(r), F.lit(1)), _with_kind(k)) for k, r in PATTERNS.items()])
-    # A string that several patterns find counts once, for the first of them.
-    order = F.transform(found, lambda c, i: F.struct(c["value"].alias("value"), i.alias("i"), c["kind"].alias("kind")))
-    once = F.filter(order, lambda c: F.array_position(F.transform(order, lambda o: o["value"]), c["value"]) == c["i"] + 1)
-
-    def judged(c: Column) -> Column:
-        parts = F.split(t, F.concat(F.lit(r"\Q"), F.replace(c["value"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(-1))
-        # A value has 8 characters at least: six pieces before it hold 48 characters or the text's start, four after it 24 or the end.
-        around = lambda parts, i: F.struct(
-            F.right(F.call_function("array_join", F.slice(parts, F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6))), c["value"]), F.lit(48)).alias("left"),
-            F.substring(F.call_function("array_join", F.slice(parts, i + 1, F.lit(4)), c["value"]), 1, 24).alias("right"),
-        )
-        # As the element of an array the pieces are split once a value, not once an occurrence.
-        places = F.transform(F.array(parts), lambda ps: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ps) - 1, F.lit(1))), lambda i: around(ps, i))))[0]
-        prob = F.array_max(F.transform(places, lambda w: F.transform(F.array(F.array(*features(c["value"], c["kind"], w["left"], w["right"], p))), lambda x: probability(forest, x))[0]))
-        return F.struct(c["value"].alias("value"), c["kind"].alias("kind"), prob.alias("probability"), (prob >= cut).alias("secret"))
-
+    # The highest probability first, of each value one: equal values are neighbours.
+    ranked = F.array_sort(F.transform(occurrences(t, p, forest), lambda o: F.struct(o["value"].alias("value"), (-o["probability"]).alias("less"), o["kind"].alias("kind"))))
+    once = let(ranked, lambda r: F.filter(r, lambda o, i: (i == 0) | (o["value"] != F.get(r, F.greatest(i - 1, F.lit(0)))["value"])))
+    found = F.transform(once, lambda o: F.struct(o["value"].alias("value"), o["kind"].alias("kind"), (-o["less"]).alias("probability"), (-o["less"] >= cut).alias("secret")))
     name, red = free_name(df, "findings"), free_name(df, "redacted")
-    got = df.withColumn(name, F.when(F.coalesce(t.rlike(one), F.lit(False)), F.transform(once, judged)).otherwise(none))
-    secrets = F.array_sort(F.transform(F.filter(F.col(name), lambda f: f["secret"]), lambda f: f["value"]), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    got = got.withColumn(red, F.when(F.exists(name, lambda f: f["secret"]), F.aggregate(secrets, t, lambda acc, s: F.replace(acc, s, F.lit(MASK)))).otherwise(t))
-    drop = [c for c in df.columns if c.lower() in ("findings", "redacted")]
-    return got.drop(*drop).withColumnsRenamed({name: "findings", red: "redacted"})
-
-
-def _with_kind(kind: str):
-    return lambda v: F.struct(v.alias("value"), F.lit(kind).alias("kind"))
+    got = df.withColumn(name, F.when(F.coalesce(t.rlike(CANDIDATE), F.lit(False)), found).otherwise(none))
+    secrets = F.array_sort(F.transform(F.filter(F.col(name), lambda f: f["secret"]), lambda f: F.struct((-F.length(f["value"])).alias("less"), f["value"].alias("value"))))
+    masked = F.aggregate(secrets, t, lambda acc, s: F.replace(acc, s["value"], F.lit(MASK)))
+    got = got.withColumn(red, F.when(F.exists(name, lambda f: f["secret"]), masked).otherwise(t))
+    return set_aside(got, "findings", "redacted").withColumnsRenamed({name: "findings", red: "redacted"})
 
 
 def labelled_findings(spark: SparkSession, n: int = 4800) -> DataFrame:
