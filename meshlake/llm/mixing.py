@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,11 +29,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlake.llm.common import arrow_stage, durable, free_name
+from meshlake.llm.common import arrow_column, durable, free_name, row_hash
 
 SEED, MAX_REPEAT, SHARD_DOCS, MAX_SHARDS, MAX_BLOCK = 2024, 3, 512, 100_000, 256
-#: A prime above any shard's number of blocks: multiplying by it permutes the block numbers.
-STRIDE = (1 << 31) - 1
 SPACE = r"[^ \t-\r]+"
 
 
@@ -79,13 +78,17 @@ def apportion(shares: list[float], seats: int, most: list[int] | None = None) ->
     return out
 
 
-def _times(b: Column, n: Column, full: Column, extra: Column) -> Column:
-    """How often block ``b`` of a shard of ``n`` blocks is taken."""
-    return full + ((b * F.lit(STRIDE) + F.lit(SEED)) % n < extra).cast("int")
+def turn(seed: int, source: int, shard: int, n: int) -> tuple[int, int]:
+    """(stride, shift) of a shard's seeded permutation of its ``n`` block numbers: b becomes (b * stride + shift) modulo n."""
+    rng = random.Random(f"{seed}-{source}-{shard}")
+    stride = rng.randrange(1, n + 1)
+    while math.gcd(stride, n) > 1:
+        stride = rng.randrange(1, n + 1)
+    return stride, rng.randrange(n)
 
 
 def plan(docs: DataFrame, key: str, source: str, size: str, weights=None, budget: float = 1.0, block: int | None = None, max_repeat: int = MAX_REPEAT, shard_docs: int = SHARD_DOCS, max_shards: int = MAX_SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with source_size, target, shard, begin (of the document in its shard's stream), block, blocks, full and extra.
+    """``docs`` with source_size, target, shard, begin (of the document in its shard's stream), block, blocks, full, extra, stride and shift.
 
     ``weights`` gives a weight for each source in code-point order, nulls last; without it they are 1, 2, 3, 1, 2, 3, ...
     """
@@ -107,11 +110,11 @@ def plan(docs: DataFrame, key: str, source: str, size: str, weights=None, budget
     n_blocks = {s: sum(-(-r.w // block) for r in by[s]) for s in names}
     seats = apportion([target[s] for s in names], round(sum(target.values()) / block), [max_repeat * n_blocks[s] for s in names])
     rows = []
-    for s, quota in zip(names, seats, strict=True):
+    for i, (s, quota) in enumerate(zip(names, seats, strict=True)):
         n = [-(-r.w // block) for r in by[s]]
         for r, n_r, q in zip(by[s], n, apportion([float(r.w) for r in by[s]], quota, [max_repeat * x for x in n]), strict=True):
-            rows.append((s, r.shard, n_r, q // max(1, n_r), q % max(1, n_r)))
-    quotas = spark.createDataFrame(rows, T.StructType([T.StructField("s", s_type)] + [T.StructField(c, T.LongType()) for c in ("h", "blocks", "full", "extra")]))
+            rows.append((s, r.shard, n_r, q // max(1, n_r), q % max(1, n_r), *turn(seed, i, r.shard, max(1, n_r))))
+    quotas = spark.createDataFrame(rows, T.StructType([T.StructField("s", s_type)] + [T.StructField(c, T.LongType()) for c in ("h", "blocks", "full", "extra", "stride", "shift")]))
     # The stream: a running sum of sizes in seeded order. Rows alike in key and size are alike in all that follows.
     stream = W.partitionBy(source, "shard").orderBy("order", F.col(key), F.col(size)).rowsBetween(W.unboundedPreceding, -1)
     held = held.withColumn("begin", F.coalesce(F.sum(size).over(stream), F.lit(0)))
@@ -124,12 +127,12 @@ def taken(size: Column) -> Column:
     begin, block, end = F.col("begin"), F.col("block"), F.col("begin") + size
     first, last = F.floor(begin / block), F.floor((end - 1) / block)
     part = lambda b: F.least(end, (b + 1) * block) - F.greatest(begin, b * block)
-    extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when(_times(b, F.col("blocks"), F.lit(0), F.col("extra")) > 0, part(b)).otherwise(0))
+    extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when((b * F.col("stride") + F.col("shift")) % F.col("blocks") < F.col("extra"), part(b)).otherwise(0))
     return F.when(size > 0, F.col("full") * size + F.when(F.col("extra") > 0, extra).otherwise(0)).otherwise(0).cast("long")
 
 
 def mixed_sizes(docs: DataFrame, key: str, source: str, text: str, **how) -> DataFrame:
-    """(key, source, size, source_size, target, shard, begin, block, blocks, full, extra, taken) for each document."""
+    """(key, source, size, source_size, target, shard, begin, block, blocks, full, extra, stride, shift, taken) for each document."""
     sized = durable(docs.select(F.col(key), F.col(source), n_words(F.col(text)).alias("size")))
     return plan(sized, key, source, "size", **how).withColumn("taken", taken(F.col("size")))
 
@@ -137,41 +140,34 @@ def mixed_sizes(docs: DataFrame, key: str, source: str, text: str, **how) -> Dat
 def mix(docs: DataFrame, key: str, source: str, text: str, **how) -> DataFrame:
     """The mixed corpus, in the columns of ``docs``: a row for each pass over a document, with the words of the blocks
     that the pass takes, joined by spaces; a pass over a whole document keeps its text as it is."""
-    names = {c: free_name(docs, c) for c in ("size", "begin", "block", "blocks", "full", "extra", "rid")}
+    parts = ("begin", "block", "blocks", "full", "extra", "stride", "shift")
+    names = {c: free_name(docs, c) for c in ("size", "rid", "plan", "part", "pass")}
     n = {k: F.col(v) for k, v in names.items()}
-    rid = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    held = docs.withColumns({names["rid"]: rid, names["size"]: n_words(F.col(text))})
+    held = docs.withColumns({names["rid"]: row_hash(docs), names["size"]: n_words(F.col(text))})
     sized = durable(held.select(F.col(names["rid"]).alias("rid"), F.col(key).alias("k"), F.col(source).alias("src"), F.col(names["size"]).alias("size")))
     # One plan row for each content: rows alike in every column are taken alike, the first of them in the stream leads.
-    of = plan(sized, "k", "src", "size", **how).groupBy("rid").agg(F.min_by(F.struct("begin", "block", "blocks", "full", "extra"), "begin").alias("p"))
-    of = of.select(F.col("rid").alias(names["rid"]), *[F.col(f"p.{c}").alias(names[c]) for c in ("begin", "block", "blocks", "full", "extra")])
-    got = held.join(of, names["rid"]).where(n["size"] > 0)
-    held = [free_name(docs, c) for c in ("begin", "block", "blocks", "full", "extra")]
-    at, whole = docs.columns.index(text), docs.columns
-
-    def passes(b: pa.RecordBatch) -> dict:
-        """A batch's rows once for each pass; long texts are cut here, a text at a time, where no array of words outlives it."""
-        plans = zip(*(b.column(len(whole) + i).to_pylist() for i in range(len(held))), strict=True)
-        rows, texts = [], []
-        for i, (begin, block, blocks, full, extra) in enumerate(plans):
-            raw = b.column(at)[i].as_py()
-            rows += [i] * full
-            texts += [raw] * full
-            if extra and (part := cut(raw, begin, block, blocks, extra)):
-                rows.append(i)
-                texts.append(part)
-        pick = pa.array(rows, pa.int64())
-        return {c: b.column(i).take(pick) for i, c in enumerate(whole)} | {text: pa.array(texts, pa.string())}
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_stage(got.select(*[F.col(f"`{c}`") for c in whole], *held), passes, ddl)
-
-
-def cut(text: str, begin: int, block: int, blocks: int, extra: int) -> str:
+    of = plan(sized, "k", "src", "size", **how).groupBy("rid").agg(F.min_by(F.struct(*parts), "begin").alias("p"))
+    got = held.join(of.select(F.col("rid").alias(names["rid"]), F.col("p").alias(names["plan"])), names["rid"]).where(n["size"] > 0)
+    p = n["plan"]
+    # Only texts of which the last pass takes a part go to Python; whole passes repeat the text where it is.
+    some = F.when(p["extra"] > 0, F.col(text))
+    got = arrow_column(got, names["part"], _cuts, "string", some, *[p[c].cast("long") for c in parts if c != "full"])
+    last = F.when((p["extra"] > 0) & (n["part"] != ""), F.array(n["part"])).otherwise(F.array().cast("array<string>"))
+    passes = F.explode(F.concat(F.array_repeat(F.col(text), p["full"].cast("int")), last))
+    return got.withColumn(names["pass"], passes).select(*[(n["pass"] if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def _cuts(text: pa.Array, *how: pa.Array) -> pa.Array:
+    """``cut`` of each text; texts are read one at a time, so no array of all words is held."""
+    rows = zip((x.as_py() for x in text), *(x.to_pylist() for x in how), strict=True)
+    return pa.array([None if t is None else cut(t, *h) for t, *h in rows], pa.string())
+
+
+def cut(text: str, begin: int, block: int, blocks: int, extra: int, stride: int, shift: int) -> str:
     """The words of the blocks that the last pass takes, joined by spaces; the text as it is if it takes all of them."""
     words = text.encode().split()  # of bytes: at the six ASCII white-space bytes only
     chosen, n = [], len(words)
     for b in range(begin // block, (begin + n - 1) // block + 1):
-        if (b * STRIDE + SEED) % blocks < extra:
+        if (b * stride + shift) % blocks < extra:
             chosen += words[max(0, b * block - begin) : (b + 1) * block - begin]
     return text if len(chosen) == n else b" ".join(chosen).decode()
