@@ -9,7 +9,8 @@ of a template can't match it. Neither bound loses a match. All of it is built-in
 shuffle, no Python.
 
 Edge cases: null and empty texts, and units of under two words, match nothing. Ties between templates go to the
-smaller name. Repeated rows each get their row; an empty table gives an empty result.
+smaller name. Repeated rows each get their row; an empty table gives an empty result. A column called like the result
+is kept with ``_input`` after its name.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import ascii_lower, free_name
+from meshlake.llm.common import ascii_lower, free_name, set_aside
 
 THRESHOLD = 0.8
 #: Notices by which texts declare a licence, and short licence texts (fixed values, public).
@@ -125,4 +126,4 @@ def scan(df: DataFrame, text: str, templates: dict[str, str] | None = None, thre
         maybe = F.col(text).rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])")
         ordered = F.array_sort(matches(F.col(text), templates, threshold), lambda a, b: F.when(a.licence < b.licence, -1).when(a.licence > b.licence, 1).when(a.dice > b.dice, -1).when(a.dice < b.dice, 1).otherwise(a.words - b.words))
         got = df.withColumn(name, F.when(F.coalesce(maybe, F.lit(False)), ordered).otherwise(none))
-    return (got.drop(out) if out in df.columns else got).withColumnRenamed(name, out)
+    return set_aside(got, out).withColumnRenamed(name, out)

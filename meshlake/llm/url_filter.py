@@ -6,7 +6,8 @@ by ``max_blocks`` and is therefore broadcast; its possible hits alone are shuffl
 the false positives. Rows that the filter clears are never shuffled.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is never listed.
-Repeated rows are each judged. An empty list lists nothing. Columns beyond the URL ride along untouched.
+Repeated rows are each judged. An empty list lists nothing. Columns beyond the URL ride along untouched; one that is called
+like a result is kept as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import ascii_lower, durable, free_name
+from meshlake.llm.common import ascii_lower, durable, free_name, set_aside
 
 WORDS = 8
 #: Fixed bound of the broadcast: 65,536 blocks of 64 bytes and a key, 5 MB.
@@ -88,9 +89,9 @@ def with_listed(df: DataFrame, url: str, listed: DataFrame, key: str, out: str =
 
 def filter_urls(df: DataFrame, url: str, rules: list[tuple[str, str]], listed: DataFrame, key: str) -> DataFrame:
     """``df`` with host, path, canonical, listed, rule and verdict."""
+    given = free_name(df, "url")
+    df = set_aside(df.withColumn(given, F.col(url)), "host", "path", "canonical", "listed", "rule", "verdict")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    clash = {c for c in df.columns if c.lower() in ("host", "path", "canonical", "listed", "rule", "verdict")}
-    df = df.drop(*clash) if clash else df
-    df = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "canonical": canonical_of(F.col(url))})
+    df = df.withColumns({"host": host_of(F.col(given)), "path": path_of(F.col(given)), "canonical": canonical_of(F.col(given))}).drop(given)
     df = with_listed(df, "canonical", listed, key)
     return df.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
