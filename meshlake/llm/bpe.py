@@ -7,7 +7,8 @@ The map is a literal array: the pairs of each first token are displaced so that
 
 Words are encoded once each where that pays: all words of the corpus are counted, those seen more than once are
 folded from the most frequent down to a fixed number and size, and that bounded dictionary is broadcast. The other
-words are folded once for each document that has them, in place, so nothing is joined and no text is shuffled.
+words are folded once for each run of texts (an Arrow batch, bounded in rows and bytes): the run's distinct words ride on
+its first row, the fold turns them into ids in place, and the next stage fills them in, so no text is joined or shuffled.
 Pieces of over ``LONG`` bytes (runs without a space) are merged by a heap in the Arrow stage with the same ranks,
 since a fold over n bytes takes n * n steps.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import arrow_stage, bounded_batches, durable
+from meshlake.llm.common import arrow_stage, bounded_batches, durable, let, release
 
 #: Unicode white space (fixed values), for a character class.
 SPACES = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-LONG, HOT_WORDS, HOT_BYTES = 128, 1_000_000, 16 << 20
+LONG, HOT_WORDS, HOT_BYTES, HOT_PARTS = 128, 1_000_000, 16 << 20, 4
+#: Ids that are decoded at a time, but for those of one longer text.
+GROUP = 1 << 18
 #: A cell of the literal map is (first token + 1) * RANKS + rank, 0 if empty; with a position of 8 bits a rank still fits an int.
 RANK_BITS = 23
 RANKS = 1 << RANK_BITS
@@ -152,11 +156,6 @@ def pieces(text: Column, vocab: Vocabulary) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({java_pattern(vocab.pattern)})"), F.lit(1))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def fold(word: Column, vocab: Vocabulary) -> Column:
     """The ids of a word of 1 to 255 bytes: ranked merges folded over its bytes."""
 
@@ -175,22 +174,22 @@ def fold(word: Column, vocab: Vocabulary) -> Column:
                 new = F.filter(F.transform(t, lambda x, i: F.when(i == p - 1, token).otherwise(x)), lambda _, i: i != p)
                 return F.when(k.isNull(), F.struct(t.alias("t"), F.lit(False).alias("go"))).otherwise(F.struct(new.alias("t"), F.lit(True).alias("go")))
 
-            return F.when(state["go"], _let(F.array_min(F.transform(t, key)), merge)).otherwise(state)
+            return F.when(state["go"], let(F.array_min(F.transform(t, key)), merge)).otherwise(state)
 
         first = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
         n = F.octet_length(word)
         return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.struct(first.alias("t"), (n > 1).alias("go")), step, lambda s: s["t"])
 
     single, offset, cells = (F.split(F.lit(x), ",").cast(f"array<{t}>") for x, t in zip(_literals(vocab), ("int", "int", "bigint"), strict=True))
-    return _let(single, lambda a: _let(offset, lambda b: _let(cells, lambda c: merges(a, b, c))))
+    return let(single, lambda a: let(offset, lambda b: let(cells, lambda c: merges(a, b, c))))
 
 
 def _is_short(words: pa.Array) -> pa.Array:
     return pc.less_equal(pc.binary_length(words), LONG)
 
 
-def hot_words(split: DataFrame, vocab: Vocabulary, most: int = HOT_WORDS, most_bytes: int = HOT_BYTES) -> tuple[pa.Array, pa.Array]:
-    """The most frequent words of the column ``pieces`` and their ids: at most ``most`` words of ``most_bytes`` in all."""
+def hot_words(split: DataFrame, vocab: Vocabulary, most: int = HOT_WORDS, most_bytes: int = HOT_BYTES, parts: int = HOT_PARTS) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The most frequent words of the column ``pieces`` and their ids: at most ``most`` words of ``most_bytes`` in all, a part after the other."""
 
     def count(b: pa.RecordBatch) -> dict:
         words = b.column(0).flatten()
@@ -205,71 +204,123 @@ def hot_words(split: DataFrame, vocab: Vocabulary, most: int = HOT_WORDS, most_b
         if words > most or size > most_bytes:
             break
         least = r.l
-    got = counts.where(level >= least).select("word", fold(F.col("word"), vocab).alias("ids")).toArrow()
-    return got.column("word").combine_chunks(), got.column("ids").combine_chunks()
+    chosen = counts.where(level >= least)
+    for i in range(parts):
+        got = chosen.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == i).select("word", fold(F.col("word"), vocab).alias("ids")).toArrow()
+        both = [got.column(c).combine_chunks() for c in ("word", "ids")]
+        got = None  # else two parts are held at once
+        yield both.pop(0), both.pop(0)
 
 
 def _flat(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, offsets) of a list array without nulls."""
+    if not len(x):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
     o = x.offsets.to_numpy()
     return x.flatten().to_numpy(zero_copy_only=False), (o - o[0]).astype(np.int64)
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, hot: bool = True) -> DataFrame:
-    """(key, ids): ids is a binary of little-endian unsigned 32-bit integers for each row; ``ids_of`` unpacks it."""
-    spark = df.sparkSession
+def _behind(buffer: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``more`` after the first n values of a buffer, which is kept where it is long enough."""
+    if n + len(more) > len(buffer):
+        return np.concatenate([buffer[:n], more])
+    buffer[n : n + len(more)] = more
+    return buffer
+
+
+def _on_first(values: pa.Array, n: int) -> pa.Array:
+    """A column of n rows, of which the first holds all values as a list and the others are null."""
+    offsets = pa.array([0] + [len(values)] * n, pa.int32(), mask=np.array([False] + [True] * (n - 1) + [False]) if n > 1 else None)
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, hot: bool = True, decoded: bool = False) -> DataFrame:
+    """(key, ids): ids is a binary of little-endian unsigned 32-bit integers for each row; ``ids_of`` unpacks it.
+
+    With ``decoded`` the stage that fills in the ids decodes them as well, into the column that ``decode`` adds.
+    """
     kind = df.schema[key].dataType.simpleString()
     split = bounded_batches(df.select(F.col(key).alias("k"), pieces(F.col(text), vocab).alias("pieces")))
-    words, ids = hot_words(split, vocab) if hot else (pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
-    shared = spark.sparkContext.broadcast((words, *_flat(ids), vocab))
-
-    def look_up(b: pa.RecordBatch) -> dict:
-        hot, _, _, vocab = shared.value
-        lists = b.column(1)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        flat = lists.flatten()
-        doc = np.repeat(np.arange(len(lists)), np.diff(offsets))
-        code = pc.fill_null(pc.index_in(flat, value_set=hot.cast(flat.type)), -1).to_numpy().astype(np.int64)
-        # The other words of a document, each once: short ones in order of their codes, then long ones.
-        miss = np.flatnonzero(code < 0)
-        named = pc.dictionary_encode(flat.take(pa.array(miss)))
-        short = _is_short(named.dictionary).to_numpy(zero_copy_only=False) if len(miss) else np.zeros(0, bool)
-        c = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = max(1, len(short))
-        pair, where = np.unique(doc[miss] * 2 * n + np.where(short[c], 0, n) + c, return_inverse=True) if len(miss) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        of, is_long, word = pair // (2 * n), pair % (2 * n) >= n, pair % n
-        begin = np.searchsorted(of, np.arange(len(lists)))
-        code[miss] = -1 - (where - begin[doc[miss]])
-        cut = lambda mask: np.concatenate([[0], np.cumsum(np.bincount(of[mask], minlength=len(lists)))]).astype(np.int32)
-        rare = pa.ListArray.from_arrays(cut(~is_long), named.dictionary.take(pa.array(word[~is_long])))
-        merged = {w: vocab.merge(named.dictionary[int(w)].as_py().encode()) for w in set(word[is_long].tolist())}
-        long_ids = pa.ListArray.from_arrays(cut(is_long), pa.array([merged[w] for w in word[is_long].tolist()], pa.list_(pa.int32())))
-        packed, begin = code.astype("<i4"), offsets - (offsets[0] if len(offsets) else 0)
-        return {"k": b.column(0), "codes": pa.array([packed[a:e].tobytes() for a, e in zip(begin, begin[1:], strict=False)], pa.binary()), "rare": rare, "long_ids": long_ids}
+    # The dictionary goes through the driver a part after the other. The stage that looks words up needs no ids, the one that fills ids in needs no words.
+    share, looked, filled, n_hot, state = df.sparkSession.sparkContext.broadcast, [], [], 0, {}
+    for words, ids in hot_words(split, vocab) if hot else ():
+        looked.append((n_hot, share(words)))
+        filled.append(share(_flat(ids)))
+        n_hot += len(words)
+        words = ids = None
+        release()
+    shared, pieces_ = share(vocab), share(vocab.pieces)
+
+    def pack(b: pa.RecordBatch) -> dict | None:
+        """Each text's words as numbers: first of the dictionary, then of the run's other words, which stand on its first row, short ones first."""
+        if not b.num_rows:
+            return None
+        vocab, lists = shared.value, b.column(1)
+        offsets = lists.offsets.to_numpy().astype(np.int64) * 4
+        named = pc.dictionary_encode(lists.flatten())
+        words = named.dictionary
+        number = np.full(len(words), -1, "<i4")
+        for first, known in looked:
+            at = pc.fill_null(pc.index_in(words, value_set=known.value.cast(words.type)), -1).to_numpy()
+            number[at >= 0] = at[at >= 0] + first
+        rare = np.flatnonzero(number < 0)
+        short = _is_short(words.take(pa.array(rare))).to_numpy(zero_copy_only=False) if len(rare) else np.zeros(0, bool)
+        rare = np.concatenate([rare[short], rare[~short]])
+        number[rare] = n_hot + np.arange(len(rare))
+        own, n_short = words.take(pa.array(rare)), int(short.sum())
+        merged = [vocab.merge(w.encode()) for w in own[n_short:].to_pylist()]
+        codes = number[named.indices.to_numpy(zero_copy_only=False)].tobytes()
+        state["run"] = run = state.get("run", 0) + 1
+        return {
+            "k": b.column(0), "run": pa.array(np.full(b.num_rows, run, np.int32)), "codes": pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((offsets - offsets[0]).astype("<i4").tobytes()), pa.py_buffer(codes)]),
+            "words": _on_first(own[:n_short], b.num_rows), "long_ids": _on_first(pa.array(merged, pa.list_(pa.int32())), b.num_rows),
+        }
 
     def fill(b: pa.RecordBatch) -> dict:
-        _, hot_flat, hot_offsets, _ = shared.value
-        out = []
-        for codes, rare in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-            code = np.frombuffer(codes, "<i4").astype(np.int64)
-            own, own_offsets = _flat(rare.values) if rare.values is not None and len(rare.values) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-            hot = code >= 0
-            own_at = np.where(hot, 0, -1 - code)
-            begin, end = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-            begin[hot], end[hot] = hot_offsets[code[hot]], hot_offsets[code[hot] + 1]
-            begin[~hot], end[~hot] = own_offsets[own_at[~hot]] + len(hot_flat), own_offsets[own_at[~hot] + 1] + len(hot_flat)
-            size = end - begin
-            at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else begin, size) + np.arange(size.sum())
-            from_hot = at < len(hot_flat)
-            ids = np.empty(len(at), "<u4")
-            ids[from_hot] = hot_flat[at[from_hot]]
-            ids[~from_hot] = own[at[~from_hot] - len(hot_flat)]
-            out.append(ids.tobytes())
-        return {"k": b.column(0), "ids": pa.array(out, pa.binary())}
-
-    coded = arrow_stage(split, look_up, f"k {kind}, codes binary, rare array<string>, long_ids array<array<int>>")
-    folded = coded.select("k", "codes", F.concat(F.transform("rare", lambda w: fold(w, vocab)), "long_ids").alias("words"))
-    return arrow_stage(folded, fill, f"k {kind}, ids binary").withColumnRenamed("k", key)
+        """The ids of each text's words. A run's rows follow its first one in the same task, over batches too."""
+        if "n" not in state:
+            hot = [x.value for x in filled]
+            flat, size = [np.concatenate([*x, np.zeros(0, np.int32)]) for x in ([f for f, _ in hot], [np.diff(at) for _, at in hot])]
+            state.update(n=len(flat), flat=flat, at=np.concatenate([[0], np.cumsum(size)]))
+        runs, lists, packed = b.column(1).to_numpy(zero_copy_only=False), b.column(3), []
+        for i, raw in enumerate(b.column(2)):
+            if lists[i].is_valid:
+                own, at = _flat(lists[i].values)
+                state["flat"], state["at"] = _behind(state["flat"], state["n"], own), _behind(state["at"], n_hot, at + state["n"])
+                state["of"] = runs[i]
+            if state["of"] != runs[i]:
+                raise RuntimeError("a run's words are missing")
+            flat, at = state["flat"], state["at"]
+            code = np.frombuffer(raw.as_buffer(), "<i4")
+            begin, size = at[code], at[code + 1] - at[code]
+            start = np.cumsum(size) - size
+            packed.append(flat[np.repeat(begin - start, size) + np.arange(size.sum())].astype("<u4").tobytes())
+        out = {"k": b.column(0), "ids": pa.array(packed, pa.binary())}
+        return out | ({"decoded": concatenated(packed, pieces_.value)} if decoded else {})
+
+    coded = arrow_stage(split, pack, f"k {kind}, run int, codes binary, words array<string>, long_ids array<array<int>>")
+    folded = coded.select("k", "run", "codes", F.when(F.col("words").isNotNull(), F.concat(F.transform("words", lambda w: fold(w, vocab)), "long_ids")).alias("lists"))
+    return arrow_stage(folded, fill, f"k {kind}, ids binary" + ", decoded binary" * decoded).withColumnRenamed("k", key)
+
+
+def concatenated(packed: list[bytes], pieces: pa.Array) -> pa.Array:
+    """The bytes of each row's packed ids."""
+    ends = np.cumsum([len(x) // 4 for x in packed])
+    group = np.concatenate([ends - np.diff(ends, prepend=0), [0]])[: len(packed)] // GROUP  # of rows that begin within as many ids
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    return pa.concat_arrays([_joined(packed[a:e], pieces) for a, e in zip([0, *cuts], [*cuts, len(packed)], strict=True)])
+
+
+def _joined(packed: list[bytes], pieces: pa.Array) -> pa.Array:
+    i = np.frombuffer(b"".join(packed), "<u4")
+    if len(i) and i.max() >= len(pieces):
+        raise ValueError(f"no such id: {i.max()}")
+    # The pieces of all rows lie one after another: a row's text runs from the start of its first piece to that of the next row's.
+    got = pieces.take(pa.array(i))
+    starts = np.frombuffer(got.buffers()[1], "<i8", len(i) + 1, got.offset * 8) if len(i) else np.zeros(1, np.int64)
+    ends = starts[np.cumsum([0, *(len(x) // 4 for x in packed)])] - starts[0]
+    data = got.buffers()[2].slice(int(starts[0]), int(ends[-1])) if len(i) else pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.large_binary(), len(packed), [None, pa.py_buffer(ends.tobytes()), data])
 
 
 def decode(df: DataFrame, key: str, ids: str, vocab: Vocabulary) -> DataFrame:
@@ -278,16 +329,7 @@ def decode(df: DataFrame, key: str, ids: str, vocab: Vocabulary) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> dict:
-        packed = [x or b"" for x in b.column(1).to_pylist()]
-        i = np.frombuffer(b"".join(packed), "<u4")
-        if len(i) and i.max() >= len(shared.value):
-            raise ValueError(f"no such id: {i.max()}")
-        # The pieces of all rows lie one after another: a row's text runs from the start of its first piece to that of the next row's.
-        got = shared.value.take(pa.array(i))
-        starts = np.frombuffer(got.buffers()[1], "<i8", len(i) + 1, got.offset * 8) if len(i) else np.zeros(1, np.int64)
-        ends = starts[np.cumsum([0, *(len(x) // 4 for x in packed)])] - starts[0]
-        data = got.buffers()[2].slice(int(starts[0]), int(ends[-1])) if len(i) else pa.py_buffer(b"")
-        return {key: b.column(0), ids: b.column(1), "decoded": pa.Array.from_buffers(pa.large_binary(), len(packed), [None, pa.py_buffer(ends.tobytes()), data])}
+        return {key: b.column(0), ids: b.column(1), "decoded": concatenated([x or b"" for x in b.column(1).to_pylist()], shared.value)}
 
     return arrow_stage(df.select(key, ids), run, f"`{key}` {kind}, `{ids}` binary, decoded binary")
 

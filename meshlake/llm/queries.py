@@ -128,7 +128,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm import bpe
 
     vocab = byte_vocabulary()
-    got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", vocab), "doc_id", "ids", vocab)
+    got = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", vocab, decoded=True)
     return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

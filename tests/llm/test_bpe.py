@@ -27,17 +27,18 @@ TEXTS = [
 ]
 
 
-def run(spark, vocab, texts, hot=True):
+def run(spark, vocab, texts, decoded=False):
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
-    got = bpe.decode(bpe.encode(df, "doc_id", "text", vocab, hot=hot), "doc_id", "ids", vocab)
+    got = bpe.encode(df, "doc_id", "text", vocab, decoded=decoded)
+    got = got if decoded else bpe.decode(got, "doc_id", "ids", vocab)
     return {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in got.collect()}
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_as_the_library(spark, vocab, library, hot):
+@pytest.mark.parametrize("decoded", [True, False])
+def test_as_the_library(spark, vocab, library, decoded):
     r = random.Random(4)
     texts = TEXTS + ["".join(r.choice(" abcdefgh\n.,é🙂1") for _ in range(r.randrange(60))) for _ in range(60)]
-    got = run(spark, vocab, texts, hot)
+    got = run(spark, vocab, texts, decoded)
     for i, t in enumerate(texts):
         assert got[i] == (library.encode_ordinary(t or ""), (t or "").encode()), repr(t)[:80]
 
@@ -76,3 +77,16 @@ def test_unpacked_ids_and_bad_ids(spark, vocab):
     bad = spark.createDataFrame([(1, bytearray(b"\xff\xff\xff\x00"))], "k long, ids binary")
     with pytest.raises(Exception, match="no such id"):
         bpe.decode(bad, "k", "ids", vocab).collect()
+
+
+def test_runs_over_batches(spark, vocab, library):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "délta"]) + str(r.randrange(50)) for _ in range(r.randrange(40))) for _ in range(300)]
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(limit)
+    spark.conf.set(limit, "7")
+    try:
+        got = run(spark, vocab, texts, True)
+    finally:
+        spark.conf.set(limit, was)
+    assert all(got[i] == (library.encode_ordinary(t), t.encode()) for i, t in enumerate(texts))
