@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlake.llm import bpe, jaccard, mixing, secrets, toxicity
+from meshlake.llm.common import row_hash
 from meshlake.session import checkpoint_dir, table
 
 #: SQL can't express the classifier, the forest or the tokenizer: tests/llm/test_pipeline.py holds the stages against plain Python.
@@ -40,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id; of rows alike in all columns one."""
-    row = F.struct("doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
+    row = F.struct("doc_id", row_hash(docs).alias("hash"))
     packed = docs.select(row.alias("row"), F.col("text").alias("t"), F.struct("*").alias("doc"))
     got = jaccard.near_duplicates(packed, "row", "t", WORDS, SHARE)
     first = got.where(F.col("row") == F.col("component")).select("row").distinct()
@@ -64,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) for each row; ids are little-endian unsigned 32-bit integers."""
     vocab = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    got = bpe.decode(bpe.encode(docs, "doc_id", "text", vocab), "doc_id", "ids", vocab)
+    got = bpe.encode(docs, "doc_id", "text", vocab, decoded=True)
     return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
