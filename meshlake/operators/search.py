@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,18 +96,52 @@ def signature_of(query: Sequence[float]) -> list[int]:
     return [w - (1 << 64) if w >> 63 else w for w in words]
 
 
-def knn_batch(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def knn_batch(queries: DataFrame, nodes: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
     """(query_id, id, score): the ``k`` best nodes of each row of ``queries(query_id, query)``, a stated query set, by cosine.
 
-    The filter on the rank lets each task keep its own ``k`` best of a query before anything is shuffled.
+    Queries are dealt into blocks of about ``block_rows``, each a bounded broadcast. A block meets all nodes in one pass of matrix
+    products; a task keeps its own ``k`` best of a query, which alone are shuffled. Null vectors and those of another length than a
+    query's take no part; a vector of length zero scores 0. Ties go to the smaller id.
     """
-    # Norms are taken once for each vector, not for each pair.
-    left = nodes.select("id", "vector", V.l2_norm(F.col("vector")).alias("n"))
-    pairs = left.join(queries.select("query_id", "query", V.l2_norm(F.col("query")).alias("m")))
-    norms = F.col("n") * F.col("m")
-    got = pairs.select("query_id", "id", F.when(norms > 0, V.dot(F.col("query"), F.col("vector")) / norms).otherwise(0.0).alias("score"))
+    spark, out = nodes.sparkSession, None
+    sizes = queries.where("query IS NOT NULL").groupBy(F.size("query").alias("dim")).count().collect()
+    for dim, n in sorted((r[0], r[1]) for r in sizes):
+        blocks, own = math.ceil(n / block_rows), queries.where(F.size("query") == dim)
+        for b in range(blocks):
+            got = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+            if got:
+                shared = spark.sparkContext.broadcast(([r.query_id for r in got], _directions(np.array([r.query for r in got], np.float64))))
+                kept = nodes.where(F.size("vector") == dim).select("id", "vector").mapInArrow(_best_of_block(shared, dim, k), "query_id long, id long, score double")
+                out = kept if out is None else out.unionByName(kept)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, or 0 where they were so."""
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _best_of_block(shared, dim: int, k: int):
+    def run(batches):
+        names, asked = shared.value
+        ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                at = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = asked @ _directions(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)).T
+                ids = np.concatenate([ids, np.broadcast_to(at, found.shape)], axis=1)
+                scores = np.concatenate([scores, found], axis=1)
+                best = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
+        of = np.repeat(np.array(names, np.int64), ids.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(ids.ravel()), pa.array(scores.ravel())], names=["query_id", "id", "score"])
+
+    return run
 
 
 def search(nodes: DataFrame, edges: DataFrame, query: Sequence[float] | None, config: SearchConfig, query_text: str | None = None, texts: DataFrame | None = None, keywords: DataFrame | None = None, dtype: str = "f32") -> DataFrame:

@@ -253,10 +253,10 @@ SELECT id, round(sum(score), 6) AS score FROM (FROM t0 UNION ALL FROM t1 UNION A
 
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
     config = search.SearchConfig(top_k=10, expand_depth=0, min_score=0.0, text_boost=0.9, enable_text_hybrid_search=True)
-    return _rounded(search.search(T.vector_nodes(s, d), T.ring_edges(s, d), _vector(s, d), config, "rusty rust", None, _keywords(s, d).where("id % 40 < 3")))
+    return _rounded(search.search(T.vector_nodes(s, d), T.ring_edges(s, d), _vector(s, d), config, "rusty rust", None, _keywords(s, d)))
 
 
-add("hybrid_text_vector", _hybrid, f"""WITH v AS (SELECT * FROM ({COSINE}) WHERE score >= 0 ORDER BY score DESC, id LIMIT 10), k AS (SELECT doc_id + 1 AS id, 0.9::DOUBLE AS score FROM documents WHERE doc_id % 3 < 2 AND (doc_id + 1) % 40 < 3),
+add("hybrid_text_vector", _hybrid, f"""WITH v AS (SELECT * FROM ({COSINE}) WHERE score >= 0 ORDER BY score DESC, id LIMIT 10), k AS (SELECT doc_id + 1 AS id, 0.9::DOUBLE AS score FROM documents WHERE doc_id % 3 < 2),
 f AS (SELECT id, sum(score) AS score FROM (FROM v UNION ALL FROM k) WHERE id IN (SELECT vec_id + 1 FROM embeddings) GROUP BY id) SELECT id, round(score, 6) AS score FROM f ORDER BY score DESC, id LIMIT 10""")
 
 

@@ -1,14 +1,16 @@
 """A store of nodes and edges: Parquet snapshots, an append-only mutation log and a manifest that is claimed atomically.
 
 ``<path>/snapshots/N/{nodes,edges}`` hold a state, ``<path>/manifests/N`` (created once, never overwritten) names the
-last mutation in it, and ``<path>/log`` has one Parquet commit for each transaction. A state is the newest snapshot with the
-mutations after its watermark replayed; a crash between any two steps leaves the state as it was. All files are
-reached through Spark and its file systems, so a store can be wherever Spark can write.
+last mutation in it, and ``<path>/log`` has one Parquet folder for each transaction, which counts once ``<path>/commits`` has its
+claim: a file named by its first mutation, created once. Of two writers that go on from the same state one is therefore refused. A
+state is the newest snapshot with the mutations after its watermark replayed; a crash between any two steps leaves the state as it
+was. All files are reached through Spark and its file systems, so a store can be wherever Spark can write.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,7 +120,7 @@ class GraphStore:
         self.version = max(int(n) for n in self.files.names(f"{self.path}/manifests") if n.isdigit())
         meta = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifests/{self.version}").collect()))
         self._dim, self.dtype, self._next, self._seq, self._watermark = meta["dim"], meta["dtype"], meta["next_id"], meta["seq"], meta["seq"]
-        log = self.log()
+        log = self.log(known=False)
         last = log.agg(F.max("seq"), F.max(F.when(F.col("op") == "insert", F.col("id")))).first()
         self._seq, self._next = max(self._seq, last[0] or 0), max(self._next, (last[1] or 0) + 1)
 
@@ -130,13 +132,26 @@ class GraphStore:
         if not self.files.create(f"{self.path}/manifests/{version}", json.dumps(meta)):
             raise StoreError(f"snapshot {version} was written by another process")
 
-    def log(self) -> DataFrame:
-        """The mutations after the snapshot."""
-        commits = [n for n in self.files.names(f"{self.path}/log") if n.isdigit() and int(n) > self._watermark and "_SUCCESS" in self.files.names(f"{self.path}/log/{n}")]
+    def log(self, known: bool = True) -> DataFrame:
+        """The mutations after the snapshot, up to the last one that this store knows of or to the last one there is."""
+        claims = [f"{self.path}/commits/{n}" for n in self.files.names(f"{self.path}/commits") if n.isdigit() and int(n) > self._watermark and (not known or int(n) <= self._seq)]
+        commits = [r[0] for r in self.spark.read.text(claims).collect()] if claims else []
         if not commits:
             return self.spark.createDataFrame([], self._ddl(replay.MUTATION))
         return self.spark.read.schema(self._ddl(replay.MUTATION)).parquet(*[f"{self.path}/log/{n}" for n in commits])
 
+    def _publish(self, rows: list[tuple]) -> None:
+        """Write a commit and claim its first sequence number; of two writers that start from the same state one is refused."""
+        first, last = rows[0][0], rows[-1][0]
+        name, claim = f"{first}-{last}-{uuid.uuid4().hex}", f"{self.path}/commits/{first}"
+        self.spark.createDataFrame(rows, self._ddl(replay.MUTATION)).coalesce(1).write.parquet(f"{self.path}/log/{name}")
+        mine = self.files.create(claim, name)
+        # A snapshot of another process takes claims away after its manifest is there.
+        if not mine or any(n.isdigit() and int(n) > self.version for n in self.files.names(f"{self.path}/manifests")):
+            for x in [f"{self.path}/log/{name}"] + [claim] * mine:
+                self.files.remove(x)
+            raise StoreError(f"another writer has gone on from mutation {first - 1}: open the store again")
+
     def _read(self, what: str) -> DataFrame:
         return self.spark.read.schema(self._ddl(NODE) if what == "nodes" else EDGE).parquet(f"{self.path}/snapshots/{self.version}/{what}")
 
@@ -198,7 +213,7 @@ class GraphStore:
                     new.discard(o["id"])
             self_seq = self._seq + len(rows) + 1
             rows.append((self_seq, o["op"], o["id"], o.get("dst"), o.get("label"), o.get("weight"), o.get("vector"), o.get("payload")))
-        self.spark.createDataFrame(rows, self._ddl(replay.MUTATION)).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/log/{rows[-1][0]}")
+        self._publish(rows)
         self._seq, self._next = rows[-1][0], next_id
         return ids
 
@@ -253,9 +268,10 @@ class GraphStore:
             return
         old, watermark = self.version, self._seq
         self._snapshot(self.raw_nodes(), self.edges(), old + 1, {"dim": self._dim, "dtype": self.dtype, "next_id": self._next, "seq": watermark})
-        for n in self.files.names(f"{self.path}/log"):
-            if n.isdigit() and int(n) <= watermark:
-                self.files.remove(f"{self.path}/log/{n}")
+        for folder, last in (("commits", 0), ("log", 1)):
+            for n in self.files.names(f"{self.path}/{folder}"):
+                if (x := n.split("-"))[0].isdigit() and int(x[last]) <= watermark:
+                    self.files.remove(f"{self.path}/{folder}/{n}")
         self.version, self._watermark = old + 1, watermark
         self.files.remove(f"{self.path}/snapshots/{old}")
 

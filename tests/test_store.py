@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 
 from meshlake.errors import DimensionMismatch, NodeNotFound, StoreError
+from meshlake.operators import search
 from meshlake.operators.search import SearchConfig
 from meshlake.sources.store import GraphStore
 from meshlake.streaming.compaction import start_compaction
@@ -81,3 +83,35 @@ def test_hybrid(spark, tmp_path):
     assert {r.id for r in got} == {1, 2}
     config = SearchConfig(top_k=2, expand_depth=1, min_score=0.0, enable_advanced_pipeline=True, enable_sparse_residual=True, enable_dpp=True)
     assert len(store.search_advanced([0.6, 0.8], config).collect()) == 2
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    path = str(tmp_path / "s")
+    one, two = GraphStore(spark, path, dim=1), GraphStore(spark, path, dim=1)
+    one.batch_insert([[1], [2]], [{}, {}])
+    with pytest.raises(StoreError, match="open the store again"):
+        two.batch_insert([[i] for i in range(5)], [{}] * 5)
+    assert sorted(r.id for r in GraphStore(spark, path).raw_nodes().collect()) == [1, 2]
+    one.flush()  # which takes the claims away
+    with pytest.raises(StoreError, match="open the store again"):
+        two.insert([9], {})
+    again = GraphStore(spark, path)
+    assert again.batch_insert([[i] for i in range(5)], [{}] * 5) == [3, 4, 5, 6, 7] and again.node_count() == 7
+
+
+def test_batch_of_queries(spark):
+    nodes = spark.createDataFrame([(i, [float(i % 5), float(i % 3)] if i != 7 else None) for i in range(40)] + [(99, [1.0])], "id long, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.5]), (2, [0.0, 0.0]), (3, [2.0])], "query_id long, query array<double>")
+    for block in (1, 100):
+        got = sorted((r.query_id, r.id, round(r.score, 9)) for r in search.knn_batch(asked, nodes, 3, block).collect())
+        want = []
+        for q in asked.collect():
+            a = np.array(q.query)
+            s = []
+            for n in nodes.collect():
+                if n.vector is not None and len(n.vector) == len(a):
+                    b = np.array(n.vector)
+                    norm = np.linalg.norm(a) * np.linalg.norm(b)
+                    s.append((-round(float(a @ b / norm) if norm else 0.0, 12), n.id))
+            want += [(q.query_id, i, round(-x, 9)) for x, i in sorted(s)[:3]]
+        assert got == sorted(want)
