@@ -204,9 +204,10 @@ def hot_words(split: DataFrame, vocab: Vocabulary, most: int = HOT_WORDS, most_b
         if words > most or size > most_bytes:
             break
         least = r.l
-    chosen = counts.where(level >= least)
+    # Folded by one plan, since the driver holds the rank map's text once for each.
+    folded = durable(counts.where(level >= least).select("word", fold(F.col("word"), vocab).alias("ids")))
     for i in range(parts):
-        got = chosen.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == i).select("word", fold(F.col("word"), vocab).alias("ids")).toArrow()
+        got = folded.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == i).toArrow()
         both = [got.column(c).combine_chunks() for c in ("word", "ids")]
         got = None  # else two parts are held at once
         yield both.pop(0), both.pop(0)
