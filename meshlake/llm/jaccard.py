@@ -64,7 +64,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: f
     rows = durable(arrow_stage(docs, lambda b: _marks(b, words), f"k {kind}, node bigint, n int, bands array<bigint>, fp bigint"))
     nodes = durable(rows.groupBy("node").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
     near = durable(classes(nodes, "node", "fp").where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    dealt = nodes.select("node", "n", "least", F.posexplode("bands").alias("band", "bits")).select("node", "n", "least", F.xxhash64("band", "bits").alias("bucket"))
+    dealt = nodes.select("node", "n", "least", F.posexplode("bands").alias("band", "bits")).select("node", "n", "least", "band", F.xxhash64("band", "bits").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
     dealt = durable(dealt.join(shared, "bucket"))
     # Sets of those alone that are compared, from the text of one document each.
@@ -81,11 +81,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: f
     stars = dealt.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).union(near).distinct().join(size.toDF("b", "n"), "b")
     links = durable(similar(stars.join(size, "a").where(fits("n_a", "n")).select("a", "b"), sets, share))
     roots = durable(components(links))
-    now = dealt.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    now = dealt.join(roots, "node", "left").select("bucket", "band", "node", "n", F.coalesce("root", "node").alias("root"))
     apart = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    now = durable(now.join(apart, "bucket"))
-    a, b = (now.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")]) for x in "ab")
-    rest = a.join(b, "bucket").where("node_a < node_b AND root_a <> root_b").where(fits("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    now = durable(now.join(apart, "bucket").join(nodes.select("node", "bands"), "node"))
+    a, b = (now.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "band", "bands")]) for x in "ab")
+    # A pair that meets in several buckets counts in that of its first common band alone.
+    first = "array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = band_a + 1"
+    rest = a.join(b, "bucket").where(f"node_a < node_b AND root_a <> root_b AND {first}").where(fits("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     roots = durable(components(links.union(similar(rest, sets, share))))
     member = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
