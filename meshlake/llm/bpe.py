@@ -36,6 +36,8 @@ from meshlake.llm.common import arrow_stage, bounded_batches, durable, let, rele
 #: Unicode white space (fixed values), for a character class.
 SPACES = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LONG, HOT_WORDS, HOT_BYTES, HOT_PARTS = 128, 1_000_000, 16 << 20, 4
+#: The session's bound on a plan's text, which ``encode`` lowers to this many characters where the user hasn't set it.
+PLAN_TEXT, PLAN_BYTES, NO_BOUND = "spark.sql.maxPlanStringLength", 100_000, str((1 << 31) - 16)
 #: Ids that are decoded at a time, but for those of one longer text.
 GROUP = 1 << 18
 #: A cell of the literal map is (first token + 1) * RANKS + rank, 0 if empty; with a position of 8 bits a rank still fits an int.
@@ -240,7 +242,9 @@ def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, hot: bool = Tr
 
     With ``decoded`` the stage that fills in the ids decodes them as well, into the column that ``decode`` adds.
     """
-    kind = df.schema[key].dataType.simpleString()
+    kind, conf = df.schema[key].dataType.simpleString(), df.sparkSession.conf
+    if conf.get(PLAN_TEXT).rstrip("b") == NO_BOUND:  # else the driver keeps the map's text with the plan of each run
+        conf.set(PLAN_TEXT, str(PLAN_BYTES))
     split = bounded_batches(df.select(F.col(key).alias("k"), pieces(F.col(text), vocab).alias("pieces")))
     # The dictionary goes through the driver a part after the other. The stage that looks words up needs no ids, the one that fills ids in needs no words.
     share, looked, filled, n_hot, state = df.sparkSession.sparkContext.broadcast, [], [], 0, {}
