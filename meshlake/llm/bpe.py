@@ -265,9 +265,10 @@ def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, hot: bool = Tr
         named = pc.dictionary_encode(lists.flatten())
         words = named.dictionary
         number = np.full(len(words), -1, "<i4")
-        for first, known in looked:
-            at = pc.fill_null(pc.index_in(words, value_set=known.value.cast(words.type)), -1).to_numpy()
-            number[at >= 0] = at[at >= 0] + first
+        for first, known in looked:  # a table of the run's few words, not of the dictionary's many
+            at = pc.fill_null(pc.index_in(known.value.cast(words.type), value_set=words), -1).to_numpy()
+            here = np.flatnonzero(at >= 0)
+            number[at[here]] = here + first
         rare = np.flatnonzero(number < 0)
         short = _is_short(words.take(pa.array(rare))).to_numpy(zero_copy_only=False) if len(rare) else np.zeros(0, bool)
         rare = np.concatenate([rare[short], rare[~short]])

@@ -16,7 +16,7 @@ from meshlake.session import durable, table
 __all__ = ["arrow_column", "arrow_stage", "ascii_lower", "bounded_batches", "durable", "free_name", "let", "release", "row_hash", "set_aside", "table"]
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker; long texts then can't fill a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
