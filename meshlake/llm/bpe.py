@@ -237,10 +237,11 @@ def _on_first(values: pa.Array, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values)
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, hot: bool = True, decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, hot: bool = True, decoded: bool = False, staged: bool = False) -> DataFrame:
     """(key, ids): ids is a binary of little-endian unsigned 32-bit integers for each row; ``ids_of`` unpacks it.
 
-    With ``decoded`` the stage that fills in the ids decodes them as well, into the column that ``decode`` adds.
+    With ``decoded`` the stage that fills in the ids decodes them as well, into the column that ``decode`` adds. With ``staged`` the
+    folded runs are checkpointed: a task then has one Python worker beside it, not two, for some four bytes of disk a word.
     """
     kind, conf = df.schema[key].dataType.simpleString(), df.sparkSession.conf
     if conf.get(PLAN_TEXT).rstrip("b") == NO_BOUND:  # else the driver keeps the map's text with the plan of each run
@@ -306,6 +307,11 @@ def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, hot: bool = Tr
 
     coded = arrow_stage(split, pack, f"k {kind}, run int, codes binary, words array<string>, long_ids array<array<int>>")
     folded = coded.select("k", "run", "codes", F.when(F.col("words").isNotNull(), F.concat(F.transform("words", lambda w: fold(w, vocab)), "long_ids")).alias("lists"))
+    if staged:
+        release()
+        folded = durable(folded)
+        for _, known in looked:
+            known.unpersist()
     return arrow_stage(folded, fill, f"k {kind}, ids binary" + ", decoded binary" * decoded).withColumnRenamed("k", key)
 
 

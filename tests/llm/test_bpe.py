@@ -27,18 +27,18 @@ TEXTS = [
 ]
 
 
-def run(spark, vocab, texts, decoded=False):
+def run(spark, vocab, texts, decoded=False, staged=False):
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
-    got = bpe.encode(df, "doc_id", "text", vocab, decoded=decoded)
+    got = bpe.encode(df, "doc_id", "text", vocab, decoded=decoded, staged=staged)
     got = got if decoded else bpe.decode(got, "doc_id", "ids", vocab)
     return {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in got.collect()}
 
 
-@pytest.mark.parametrize("decoded", [True, False])
-def test_as_the_library(spark, vocab, library, decoded):
+@pytest.mark.parametrize("decoded, staged", [(True, False), (False, False), (True, True)])
+def test_as_the_library(spark, vocab, library, decoded, staged):
     r = random.Random(4)
     texts = TEXTS + ["".join(r.choice(" abcdefgh\n.,é🙂1") for _ in range(r.randrange(60))) for _ in range(60)]
-    got = run(spark, vocab, texts, decoded)
+    got = run(spark, vocab, texts, decoded, staged)
     for i, t in enumerate(texts):
         assert got[i] == (library.encode_ordinary(t or ""), (t or "").encode()), repr(t)[:80]
 
