@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import arrow_stage, bounded_batches, durable, let, release
+from meshlake.llm.common import arrow_stage, bounded_batches, durable, let, release, settle
 
 #: Unicode white space (fixed values), for a character class.
 SPACES = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -308,10 +308,11 @@ def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, hot: bool = Tr
     coded = arrow_stage(split, pack, f"k {kind}, run int, codes binary, words array<string>, long_ids array<array<int>>")
     folded = coded.select("k", "run", "codes", F.when(F.col("words").isNotNull(), F.concat(F.transform("words", lambda w: fold(w, vocab)), "long_ids")).alias("lists"))
     if staged:
-        release()
+        settle(df.sparkSession)
         folded = durable(folded)
         for _, known in looked:
             known.unpersist()
+        settle(df.sparkSession)
     return arrow_stage(folded, fill, f"k {kind}, ids binary" + ", decoded binary" * decoded).withColumnRenamed("k", key)
 
 

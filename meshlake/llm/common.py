@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from meshlake.session import durable, table
 
-__all__ = ["arrow_column", "arrow_stage", "ascii_lower", "bounded_batches", "durable", "free_name", "let", "release", "row_hash", "set_aside", "table"]
+__all__ = ["arrow_column", "arrow_stage", "ascii_lower", "bounded_batches", "durable", "free_name", "let", "release", "row_hash", "set_aside", "settle", "table"]
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker; long texts then can't fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
@@ -45,6 +45,15 @@ def release() -> None:
     _trim()(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between two large steps: free what the driver no longer uses, for which Spark's cleaner then drops shuffles and broadcasts.
+
+    Else that waits for ``spark.cleaner.periodicGC.interval`` or for a full heap, in which plans of earlier steps lie.
+    """
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_column(df: DataFrame, out: str, fn: Callable[..., pa.Array], kind: str, *columns: Column) -> DataFrame:
     """``df`` with ``out``, a function of Arrow arrays: only ``columns`` go to Python, the others stay where they are."""
 
