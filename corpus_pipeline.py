@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlake.llm import bpe, jaccard, mixing, secrets, toxicity
-from meshlake.llm.common import row_hash
+from meshlake.llm.common import row_hash, settle
 from meshlake.session import checkpoint_dir, table
 
 #: SQL can't express the classifier, the forest or the tokenizer: tests/llm/test_pipeline.py holds the stages against plain Python.
@@ -34,6 +34,7 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below the threshold."""
+    settle(spark)
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     packed = docs.select(F.col("text").alias("t"), F.struct("*").alias("doc"))
     return toxicity.score(packed, "t", machine).where(F.col("score") < toxicity.THRESHOLD).select("doc.*")
@@ -41,6 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id; of rows alike in all columns one."""
+    settle(spark)
     row = F.struct("doc_id", row_hash(docs).alias("hash"))
     packed = docs.select(row.alias("row"), F.col("text").alias("t"), F.struct("*").alias("doc"))
     got = jaccard.near_duplicates(packed, "row", "t", WORDS, SHARE)
@@ -51,6 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
+    settle(spark)
     forest = secrets.train(secrets.labelled_findings(spark))
     packed = docs.select(F.col("text").alias("t"), F.col("source").alias("s"), F.struct("*").alias("doc"))
     got = secrets.scan(packed, "t", "s", forest)
@@ -59,11 +62,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each time that a document, or blocks of it, are taken."""
+    settle(spark)
     return _sized(mixing.mix(docs, "doc_id", "source", "text"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) for each row; ids are little-endian unsigned 32-bit integers."""
+    settle(spark)
     vocab = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     got = bpe.encode(docs, "doc_id", "text", vocab, decoded=True, staged=True)
     return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
