@@ -5,8 +5,11 @@ many. Nodes whose fingerprints the SimHash operator puts in one class are compar
 about 0.95 or more; pairs down to 0.8 differ in some ten bits of 64, for which no blocks of a fingerprint are both shared and
 selective. A node is therefore dealt out as well to ``BANDS`` buckets, each keyed by ``ROWS`` minima of the set; two sets with a similarity s meet in
 some bucket with a probability of 1 - (1 - s ** ROWS) ** BANDS, which is over 0.9999 at 0.8. Every pair that meets is settled:
-first each node with the least of its bucket, then all pairs in a bucket that the first links left in different components.
-A pair is a link if its exact similarity is ``share`` or more; a large group of near copies therefore needs few comparisons.
+first each node with the least of its bucket, then with its hub, the one that meets most others, so that a large group of near
+copies needs few comparisons. The nodes of the buckets that these links left in different components go into a prefix join:
+two sets can only be similar enough if they share one of their rarest hashes, and its rank bounds what they can have in
+common. That finds every such pair and leaves out nearly all that share but frequent hashes, however full their bucket is.
+A pair is a link if its exact similarity is ``share`` or more.
 
 Edge cases: null and empty texts have the empty set and are one node without links. Repeated rows each get their row. An empty
 table gives an empty result.
@@ -57,6 +60,32 @@ def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both >= share * (F.size("of_a") + F.size("of_b") - both) - 1e-9).select("a", "b")
 
 
+def apart(dealt: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, n, root, met): ``dealt(bucket, node, n)`` of those buckets whose nodes, ``met`` in number, have different roots."""
+    now = dealt.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    of = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met")).where("low < high")
+    return now.join(of.select("bucket", "met"), "bucket")
+
+
+def candidates(nodes: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(a, b), a < b: of ``nodes(node, n, root)`` all pairs of different roots whose similarity may be ``share`` or more.
+
+    Each set's hashes are ranked by how many of the sets hold them, the rarest first. If the first that two sets have in common
+    has the ranks p and q, they share at most n_a - p and n_b - q of them, and need ``share / (1 + share)`` of n_a + n_b.
+    """
+    hashes_ = nodes.join(sets, "node").select("node", "n", "root", F.explode("found").alias("h"))
+    held = hashes_.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")  # those of a single set rank first and match nothing
+    ranked = hashes_.join(held, "h").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("all"))
+    # ``most``: so many hashes at most are shared with a set of which this is the first common one.
+    prefix = ranked.select("node", "n", "root", F.size("all").alias("size"), F.posexplode("all").alias("rank", "of")).select("node", "n", "root", (F.col("size") - F.col("rank")).alias("most"), F.col("of.h").alias("h"))
+    prefix = durable(prefix.where(F.col("most") >= share * F.col("n") - 1e-9))
+    mixed = prefix.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    prefix = prefix.join(mixed, "h")
+    a, b = (prefix.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "most")]) for x in "ab")
+    enough = f"least(most_a, most_b) >= {share / (1 + share)} * (n_a + n_b) - 1e-9"
+    return a.join(b, "h").where(f"node_a < node_b AND root_a <> root_b AND {enough}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: float = 0.8) -> DataFrame:
     """(key, component) for each row of ``df``: the smallest key of all documents reachable over links."""
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -64,7 +93,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: f
     rows = durable(arrow_stage(docs, lambda b: _marks(b, words), f"k {kind}, node bigint, n int, bands array<bigint>, fp bigint"))
     nodes = durable(rows.groupBy("node").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
     near = durable(classes(nodes, "node", "fp").where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    dealt = nodes.select("node", "n", "least", F.posexplode("bands").alias("band", "bits")).select("node", "n", "least", "band", F.xxhash64("band", "bits").alias("bucket"))
+    dealt = nodes.select("node", "n", "least", F.posexplode("bands").alias("band", "bits")).select("node", "n", "least", F.xxhash64("band", "bits").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
     dealt = durable(dealt.join(shared, "bucket"))
     # Sets of those alone that are compared, from the text of one document each.
@@ -81,14 +110,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: f
     stars = dealt.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).union(near).distinct().join(size.toDF("b", "n"), "b")
     links = durable(similar(stars.join(size, "a").where(fits("n_a", "n")).select("a", "b"), sets, share))
     roots = durable(components(links))
-    now = dealt.join(roots, "node", "left").select("bucket", "band", "node", "n", F.coalesce("root", "node").alias("root"))
-    apart = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    now = durable(now.join(apart, "bucket").join(nodes.select("node", "bands"), "node"))
-    a, b = (now.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "band", "bands")]) for x in "ab")
-    # A pair that meets in several buckets counts in that of its first common band alone.
-    first = "array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = band_a + 1"
-    rest = a.join(b, "bucket").where(f"node_a < node_b AND root_a <> root_b AND {first}").where(fits("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    roots = durable(components(links.union(similar(rest, sets, share))))
+    now = durable(apart(dealt, roots))
+    met = now.groupBy("node").agg(F.sum("met").alias("in_all"))
+    hubs = now.join(met, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n", "root"), F.struct("in_all", "node")).alias("hub"))
+    spokes = now.join(hubs, "bucket").where("root <> hub.root").where(fits("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = durable(links.union(similar(spokes, sets, share)))
+    roots = durable(components(links))
+    rest = durable(apart(now.drop("root", "met"), roots).select("node", "n", "root").distinct())
+    roots = durable(components(links.union(similar(candidates(rest, sets, share), sets, share))))
     member = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     of = member.join(least, "root").select("node", "component")
