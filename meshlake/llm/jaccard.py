@@ -5,8 +5,8 @@ many. Nodes whose fingerprints the SimHash operator puts in one class are compar
 about 0.95 or more; pairs down to 0.8 differ in some ten bits of 64, for which no blocks of a fingerprint are both shared and
 selective. A node is therefore dealt out as well to ``BANDS`` buckets, each keyed by ``ROWS`` minima of the set; two sets with a similarity s meet in
 some bucket with a probability of 1 - (1 - s ** ROWS) ** BANDS, which is over 0.9999 at 0.8. Every pair that meets is settled:
-first each node with the least of its bucket, then with its hub, the one that meets most others, so that a large group of near
-copies needs few comparisons. The nodes of the buckets that these links left in different components go into a prefix join:
+first each node with the hub of its bucket, the one that meets most others, so that a large group of near copies needs few
+comparisons. The nodes of the buckets that these links left in different components go into a prefix join:
 two sets can only be similar enough if they share one of their rarest hashes, and its rank bounds what they can have in
 common. That finds every such pair and leaves out nearly all that share but frequent hashes, however full their bucket is.
 A pair is a link if its exact similarity is ``share`` or more.
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import arrow_stage, durable
+from meshlake.llm.common import arrow_stage, durable, settle
 from meshlake.llm.simhash import classes, components, hashes, majority
 
 BANDS, ROWS, SEED = 20, 4, 42
@@ -61,10 +61,10 @@ def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
 
 
 def apart(dealt: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, n, root, met): ``dealt(bucket, node, n)`` of those buckets whose nodes, ``met`` in number, have different roots."""
+    """(bucket, node, n, root): ``dealt(bucket, node, n)`` of those buckets whose nodes have different roots."""
     now = dealt.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    of = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met")).where("low < high")
-    return now.join(of.select("bucket", "met"), "bucket")
+    of = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return now.join(of.select("bucket"), "bucket")
 
 
 def candidates(nodes: DataFrame, sets: DataFrame, share: float) -> DataFrame:
@@ -93,8 +93,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: f
     rows = durable(arrow_stage(docs, lambda b: _marks(b, words), f"k {kind}, node bigint, n int, bands array<bigint>, fp bigint"))
     nodes = durable(rows.groupBy("node").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
     near = durable(classes(nodes, "node", "fp").where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    dealt = nodes.select("node", "n", "least", F.posexplode("bands").alias("band", "bits")).select("node", "n", "least", F.xxhash64("band", "bits").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
+    dealt = nodes.select("node", "n", F.posexplode("bands").alias("band", "bits")).select("node", "n", F.xxhash64("band", "bits").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("met")).where("met > 1")
     dealt = durable(dealt.join(shared, "bucket"))
     # Sets of those alone that are compared, from the text of one document each.
     asked = near.select("a").union(near.select("b")).union(dealt.select("node")).distinct().toDF("node")
@@ -106,17 +106,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, share: f
     def fits(x: str, y: str) -> str:
         return f"least({x}, {y}) >= {share} * greatest({x}, {y}) - 1e-9"
 
+    settle(df.sparkSession)
+    in_all = dealt.groupBy("node").agg(F.sum("met").alias("in_all"))
+    hubs = dealt.join(in_all, "node").groupBy("bucket").agg(F.max_by("node", F.struct("in_all", "node")).alias("hub"))
+    spokes = dealt.join(hubs, "bucket").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     size = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    stars = dealt.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).union(near).distinct().join(size.toDF("b", "n"), "b")
+    stars = spokes.union(near).distinct().join(size.toDF("b", "n"), "b")
     links = durable(similar(stars.join(size, "a").where(fits("n_a", "n")).select("a", "b"), sets, share))
     roots = durable(components(links))
-    now = durable(apart(dealt, roots))
-    met = now.groupBy("node").agg(F.sum("met").alias("in_all"))
-    hubs = now.join(met, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n", "root"), F.struct("in_all", "node")).alias("hub"))
-    spokes = now.join(hubs, "bucket").where("root <> hub.root").where(fits("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = durable(links.union(similar(spokes, sets, share)))
-    roots = durable(components(links))
-    rest = durable(apart(now.drop("root", "met"), roots).select("node", "n", "root").distinct())
+    settle(df.sparkSession)
+    rest = durable(apart(dealt, roots).select("node", "n", "root").distinct())
     roots = durable(components(links.union(similar(candidates(rest, sets, share), sets, share))))
     member = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
